@@ -213,3 +213,338 @@ FROM verdicts""")
 def batch_counters_q(spark, sf_dir):
     from ..operators.score import batch_counters
     return batch_counters(rule_verdicts(spark, sf_dir))
+
+
+# --- §2.8 triage, §2.1 K5/K6, P7 -------------------------------------------------------
+
+from ..operators import triage as TR  # noqa: E402
+from ..operators import logs as LG  # noqa: E402
+from ..operators import evaluation as EV  # noqa: E402
+from ..operators.split import stratified_split  # noqa: E402
+from ..sources import corpus as CO  # noqa: E402
+from ..functions.features import FEATURE_NAMES, FEATURES  # noqa: E402
+
+
+def _status_sql(inj: str, p: str) -> str:
+    return (f"CASE WHEN coalesce({inj}, false) THEN 'vulnerable' "
+            f"WHEN coalesce(CASE WHEN NOT isnan({p}) THEN {p} END, 0.0) >= 0.35 THEN 'warning' ELSE 'safe' END")
+
+
+@register("screen_status_counts", O.with_("requests", extra=verdict_ctes())
+          + f"""SELECT route, {_status_sql('is_sql_injection', 'probability_injection')} AS status,
+  count(*) AS n
+FROM verdicts GROUP BY ALL""")
+def screen_status_counts(spark, sf_dir):
+    v = rule_verdicts(spark, sf_dir)
+    st = TR.status(F.col("is_sql_injection"), F.col("probability_injection"))
+    return v.groupBy("route", st.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _triage_sql_select(src: str = "query_logs") -> str:
+    conf_used = ("CASE WHEN confidence IS NOT NULL AND NOT isnan(confidence) AND confidence <> 0 THEN confidence "
+                 "WHEN probability_injection IS NOT NULL AND NOT isnan(probability_injection) "
+                 "AND probability_injection <> 0 THEN probability_injection ELSE 0.0 END")
+    pct = f"CAST(floor(({conf_used}) * 100 + 0.5) AS BIGINT)"
+    st = _status_sql("is_sql_injection", "probability_injection")
+    return f"""SELECT id, query AS url, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS scan_date,
+  {st} AS status,
+  CASE {st} WHEN 'vulnerable' THEN 'High' WHEN 'warning' THEN 'Medium' ELSE 'Low' END AS severity,
+  CAST(CASE {st} WHEN 'vulnerable' THEN 3 WHEN 'warning' THEN 1 ELSE 0 END AS BIGINT) AS issues_found,
+  CASE {st}
+    WHEN 'vulnerable' THEN 'The model detected SQL injection characteristics. Confidence: ' || {pct} || '%.'
+    WHEN 'warning' THEN printf('Suspicious patterns detected (Injection probability %.1f%%). Manual review recommended.',
+                               coalesce(probability_injection, 0.0) * 100)
+    ELSE 'No SQL injection characteristics detected. Confidence: ' || {pct} || '%.' END AS description,
+  CASE WHEN coalesce(is_sql_injection, false) THEN 'SQL Injection'
+       WHEN {st} = 'warning' THEN 'Potential SQL Injection' ELSE 'None' END AS vulnerability_type,
+  confidence, probability_safe, probability_injection, is_sql_injection, id AS log_id
+FROM {src}"""
+
+
+def _records(spark, sf_dir):
+    return TR.triage(T.query_logs(spark, sf_dir))
+
+
+TRIAGE_SQL = O.with_("query_logs") + _triage_sql_select()
+
+
+@register("triage_status", TRIAGE_SQL)
+def triage_status(spark, sf_dir):
+    return _records(spark, sf_dir)
+
+
+@register("triage_filter_warning", O.with_("query_logs", extra=[
+    "rec AS (" + _triage_sql_select() + ")"]) + "SELECT * FROM rec WHERE lower(status) = 'warning'")
+def triage_filter_warning(spark, sf_dir):
+    return TR.filter_status(_records(spark, sf_dir), "warning")
+
+
+def _pct_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL OR isnan({x}) THEN 'N/A' ELSE printf('%.2f%%', {x} * 100) END"
+
+
+@register("export_csv_rows", O.with_("query_logs", extra=["rec AS (" + _triage_sql_select() + ")"])
+          + f"""SELECT url AS "URL", status AS "Status", issues_found AS "Issues Found",
+  severity AS "Severity", {_pct_sql('confidence')} AS "Confidence",
+  {_pct_sql('probability_injection')} AS "Injection Probability",
+  scan_date AS "Scan Date", log_id AS "Log ID"
+FROM rec""")
+def export_csv_rows(spark, sf_dir):
+    return TR.export_lines(_records(spark, sf_dir))
+
+
+def _report_sql() -> str:
+    parts = [O.s(TR.REPORT_TITLE), O.s("=" * 30), "''", "'URL: ' || url", "'Scan Date: ' || scan_date",
+             "'Status: ' || status", "'Severity: ' || severity",
+             "'Issues Found: ' || CAST(issues_found AS VARCHAR)",
+             f"'Confidence: ' || {_pct_sql('confidence')}",
+             f"'Injection Probability: ' || {_pct_sql('probability_injection')}",
+             "'Log ID: ' || coalesce(CAST(log_id AS VARCHAR), 'N/A')",
+             "''", "'VULNERABILITY DETAILS:'", "description", "''", "'RECOMMENDATIONS:'",
+             *[O.s(r) for r in TR.RECOMMENDATIONS]]
+    return (O.with_("query_logs", extra=["rec AS (" + _triage_sql_select() + ")"])
+            + f"SELECT id, concat_ws(chr(10), {', '.join(parts)}) AS report FROM rec")
+
+
+@register("report_text", _report_sql())
+def report_text(spark, sf_dir):
+    return TR.report_text(_records(spark, sf_dir))
+
+
+def _html_escape_sql(x: str) -> str:
+    out = x
+    for ch, rep in TR.HTML_ESCAPES:
+        out = f"replace({out}, {O.s(ch)}, {O.s(rep)})"
+    return out
+
+
+@register("html_escape", O.with_("requests")
+          + f"SELECT request_id, {_html_escape_sql('query')} AS query_html FROM requests")
+def html_escape(spark, sf_dir):
+    r = T.requests(spark, sf_dir)
+    return r.select("request_id", TR.html_escape(F.col("query")).alias("query_html"))
+
+
+@register("scan_summary", O.with_("query_logs", extra=["rec AS (" + _triage_sql_select() + ")"])
+          + """SELECT max(scan_date) AS last_scan, count(*) AS urls_scanned,
+  count_if(is_sql_injection) AS injections_detected FROM rec""")
+def scan_summary(spark, sf_dir):
+    return TR.scan_summary(_records(spark, sf_dir))
+
+
+# --- §2.9 A1-A4, §2.10 O1/O2, §2.7 joins, K3 --------------------------------------------
+
+STATS_SQL = O.with_("feedback_logs", extra=[
+    "anchor AS (SELECT max(created_at) - INTERVAL 7 DAY AS since FROM query_logs)"]) + """SELECT
+  (SELECT count(*) FROM query_logs, anchor WHERE created_at >= since) AS total_queries,
+  (SELECT count_if(is_sql_injection) FROM query_logs, anchor WHERE created_at >= since) AS sql_injections_detected,
+  (SELECT count_if(feedback_type = 'false_positive') FROM feedback_logs, anchor WHERE created_at >= since) AS false_positives,
+  (SELECT count_if(feedback_type = 'false_negative') FROM feedback_logs, anchor WHERE created_at >= since) AS false_negatives,
+  7 AS days"""
+
+
+@register("stats_last_n_days", STATS_SQL)
+def stats_last_n_days(spark, sf_dir):
+    return LG.statistics(T.query_logs(spark, sf_dir), T.feedback_logs(spark, sf_dir), days=7)
+
+
+@register("daily_statistics", O.with_("feedback_logs", extra=[
+    """l AS (SELECT CAST(created_at AS DATE) AS date, count(*) AS total_queries,
+                 count_if(is_sql_injection) AS sql_injections_detected FROM query_logs GROUP BY 1)""",
+    """f AS (SELECT CAST(created_at AS DATE) AS date,
+                 count_if(feedback_type = 'false_positive') AS false_positives,
+                 count_if(feedback_type = 'false_negative') AS false_negatives FROM feedback_logs GROUP BY 1)"""])
+          + """SELECT coalesce(l.date, f.date) AS date, coalesce(total_queries, 0) AS total_queries,
+  coalesce(sql_injections_detected, 0) AS sql_injections_detected,
+  coalesce(false_positives, 0) AS false_positives, coalesce(false_negatives, 0) AS false_negatives
+FROM l FULL OUTER JOIN f ON l.date = f.date""")
+def daily_statistics(spark, sf_dir):
+    return LG.daily_statistics(T.query_logs(spark, sf_dir), T.feedback_logs(spark, sf_dir))
+
+
+@register("recent_logs", O.with_("query_logs")
+          + "SELECT * FROM query_logs ORDER BY created_at DESC, id DESC LIMIT 100")
+def recent_logs(spark, sf_dir):
+    return LG.recent(T.query_logs(spark, sf_dir), 100)
+
+
+@register("recent_injections", O.with_("query_logs")
+          + "SELECT * FROM query_logs WHERE is_sql_injection ORDER BY created_at DESC, id DESC LIMIT 100")
+def recent_injections(spark, sf_dir):
+    return LG.recent(T.query_logs(spark, sf_dir), 100, is_injection=True)
+
+
+@register("recent_logs_count", O.with_("query_logs") + """SELECT count(*) AS n_logs FROM
+  (SELECT id FROM query_logs WHERE NOT is_sql_injection ORDER BY created_at DESC, id DESC LIMIT 100)""")
+def recent_logs_count(spark, sf_dir):
+    page = LG.recent(T.query_logs(spark, sf_dir), 100, is_injection=False)
+    return page.agg(F.count(F.lit(1)).alias("n_logs"))
+
+
+def _feedback_join_sql(lookback: int | None) -> str:
+    logs = ("query_logs" if lookback is None else
+            f"(SELECT * FROM query_logs ORDER BY created_at DESC, id DESC LIMIT {lookback})")
+    exp = ("CASE WHEN l.is_sql_injection AND NOT f.actual_label THEN 'false_positive' "
+           "WHEN NOT l.is_sql_injection AND f.actual_label THEN 'false_negative' ELSE 'correct' END")
+    return O.with_("feedback_logs") + f"""SELECT f.id, f.query_log_id, l.id IS NOT NULL AS log_found,
+  f.actual_label, l.is_sql_injection AS predicted_label, f.feedback_type,
+  CASE WHEN l.id IS NOT NULL THEN {exp} END AS expected_type,
+  CASE WHEN l.id IS NOT NULL THEN {exp} = f.feedback_type END AS type_consistent,
+  f.created_at
+FROM feedback_logs f LEFT JOIN {logs} l ON f.query_log_id = l.id"""
+
+
+@register("feedback_join", _feedback_join_sql(None))
+def feedback_join(spark, sf_dir):
+    return LG.feedback_join(T.feedback_logs(spark, sf_dir), T.query_logs(spark, sf_dir))
+
+
+@register("feedback_lookback", _feedback_join_sql(LG.FEEDBACK_LOOKBACK))
+def feedback_lookback(spark, sf_dir):
+    return LG.feedback_join(T.feedback_logs(spark, sf_dir), T.query_logs(spark, sf_dir),
+                            lookback=LG.FEEDBACK_LOOKBACK)
+
+
+@register("feedback_orphans", O.with_("feedback_logs") + """SELECT f.* FROM feedback_logs f
+WHERE NOT EXISTS (SELECT 1 FROM query_logs l WHERE l.id = f.query_log_id)""")
+def feedback_orphans(spark, sf_dir):
+    return LG.feedback_orphans(T.feedback_logs(spark, sf_dir), T.query_logs(spark, sf_dir))
+
+
+@register("feedback_corpus", O.with_("feedback_logs") + """SELECT l.id AS query_log_id, l.query,
+  CAST(x.actual_label AS INTEGER) AS label
+FROM (SELECT query_log_id, arg_max(actual_label, (created_at, id)) AS actual_label
+      FROM feedback_logs GROUP BY query_log_id) x
+JOIN query_logs l ON l.id = x.query_log_id""")
+def feedback_corpus(spark, sf_dir):
+    return LG.feedback_corpus(T.feedback_logs(spark, sf_dir), T.query_logs(spark, sf_dir))
+
+
+@register("blocked_requests", O.with_("query_logs") + """SELECT id, query, ip_address, user_agent, endpoint,
+  created_at AS blocked_at, 'SQL injection detected' AS reason
+FROM query_logs WHERE is_sql_injection""")
+def blocked_requests(spark, sf_dir):
+    return LG.blocked_requests(T.query_logs(spark, sf_dir))
+
+
+# --- §2.9 A5-A9, §2.11 M1, §2.1 S2-S4 --------------------------------------------------
+
+@register("class_balance", O.with_("requests") + "SELECT label, count(*) AS n FROM requests GROUP BY label")
+def class_balance(spark, sf_dir):
+    return EV.class_balance(T.requests(spark, sf_dir))
+
+
+METRICS_SQL_BODY = """SELECT model_id, tp, fp, fn, tn,
+  CASE WHEN tp + fp + fn + tn > 0 THEN CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) ELSE 0.0 END AS accuracy,
+  CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision,
+  CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall,
+  CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END AS f1_score
+FROM (SELECT model_id, count_if(label = 1 AND prediction = 1) AS tp, count_if(label <> 1 AND prediction = 1) AS fp,
+             count_if(label = 1 AND prediction <> 1) AS fn, count_if(label <> 1 AND prediction <> 1) AS tn
+      FROM predictions GROUP BY model_id)"""
+
+
+@register("model_metrics", O.with_("predictions") + METRICS_SQL_BODY)
+def model_metrics(spark, sf_dir):
+    return EV.binary_metrics(T.predictions(spark, sf_dir))
+
+
+@register("best_model", O.with_("predictions", extra=["m AS (" + METRICS_SQL_BODY + ")"])
+          + """SELECT model_id, f1_score FROM m ORDER BY f1_score DESC, model_id LIMIT 1""")
+def best_model(spark, sf_dir):
+    return EV.best_model(EV.binary_metrics(T.predictions(spark, sf_dir)))
+
+
+@register("seed_summary", O.with_("seed_predictions", extra=[
+    """acc AS (SELECT seed, model_id,
+                CASE WHEN count(prediction) > 0 THEN CAST(count_if(prediction = label) AS DOUBLE) / count(prediction) END AS accuracy,
+                max(error) AS error
+              FROM seed_predictions GROUP BY seed, model_id)"""]) + """SELECT model_id,
+  round(avg(accuracy), 9) AS mean_accuracy,
+  round(CASE WHEN count(accuracy) = 1 THEN 0.0 WHEN count(accuracy) > 1 THEN stddev_samp(accuracy) END, 9) AS stdev_accuracy,
+  count(accuracy) AS n_seeds, count_if(error IS NOT NULL) AS n_failed
+FROM acc GROUP BY model_id""")
+def seed_summary(spark, sf_dir):
+    return EV.seed_summary(EV.seed_accuracy(T.seed_predictions(spark, sf_dir)))
+
+
+def _scaler_sql() -> str:
+    cols = O.features_select("t.query", FEATURES, round_ratios=None)
+    dbl = [f"CAST({c.rsplit(' AS ', 1)[0]} AS DOUBLE) AS {c.rsplit(' AS ', 1)[1]}" for c in cols]
+    return (O.with_("requests", extra=[O.depth_cte("dp", "requests", "request_id", "query"),
+                                       "fx AS (SELECT " + ",\n".join(dbl)
+                                       + " FROM requests t LEFT JOIN dp ON dp.request_id = t.request_id)"])
+            + """SELECT feature, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std_pop,
+  round(stddev_samp(value), 6) AS std_samp
+FROM (UNPIVOT fx ON COLUMNS(*) INTO NAME feature VALUE value) GROUP BY feature""")
+
+
+@register("scaler_stats", _scaler_sql())
+def scaler_stats(spark, sf_dir):
+    fx = featurize(T.requests(spark, sf_dir).select("request_id", "query"), keep=[])
+    return EV.scaler_statistics(fx, FEATURE_NAMES, digits=6)
+
+
+@register("stratified_split", O.with_("requests") + """SELECT request_id, label, rn <= k AS is_test FROM (
+  SELECT request_id, label,
+         row_number() OVER (PARTITION BY label ORDER BY md5(CAST(request_id AS VARCHAR) || '|42')) AS rn,
+         ceil(count(*) OVER (PARTITION BY label) * 0.2) AS k
+  FROM requests)""")
+def stratified_split_q(spark, sf_dir):
+    r = T.requests(spark, sf_dir).select("request_id", "label")
+    return stratified_split(r, "request_id", "label", test_size=0.2, seed=42)
+
+
+def _draw_sql(k: str, seed: int, tag: str) -> str:
+    return f"CAST(('0x' || substr(md5(CAST({k} AS VARCHAR) || '|{seed}|{tag}'), 1, 8)) AS BIGINT)"
+
+
+def _augment_sql(seed: int = 42) -> str:
+    from ..sources.templates import ATTACK_TEMPLATES, SAFE_TEMPLATES
+    safe = "[" + ", ".join(O.s(x) for x in SAFE_TEMPLATES) + "]"
+    att = "[" + ", ".join(O.s(x) for x in ATTACK_TEMPLATES) + "]"
+    k = "o_orderkey"
+    d = {t: _draw_sql(k, seed, t) for t in ("label", "safe", "attack", "vary", "num", "prefix")}
+    ns, na = len(SAFE_TEMPLATES), len(ATTACK_TEMPLATES)
+    return f"""WITH d AS (SELECT {k}, {d['label']} % 2 = 1 AS is_attack, {d['safe']} % {ns} AS si,
+  {d['attack']} % {na} AS ai, {d['vary']} % 10 AS vary, {d['num']} % 99 + 1 AS num, {d['prefix']} % {ns} AS pi
+  FROM orders)
+SELECT {k},
+  CASE WHEN is_attack THEN (CASE WHEN vary < 3 THEN {safe}[pi + 1] || ' ' || {att}[ai + 1] ELSE {att}[ai + 1] END)
+       ELSE (CASE WHEN vary < 5 THEN replace({safe}[si + 1], '1', CAST(num AS VARCHAR)) ELSE {safe}[si + 1] END)
+  END AS query,
+  CASE WHEN is_attack THEN 1 ELSE 0 END AS label,
+  CAST(CASE WHEN is_attack THEN ai + {ns} ELSE si END AS INTEGER) AS tid
+FROM d"""
+
+
+@register("augment_corpus", _augment_sql())
+def augment_corpus(spark, sf_dir):
+    keys = T.table(spark, sf_dir, "orders").select("o_orderkey")
+    return CO.augment(keys, "o_orderkey", seed=42)
+
+
+def _spelled_label_sql() -> str:
+    n = len(CO.SAFE_SPELLINGS)
+    safe = "[" + ", ".join(O.s(x) for x in CO.SAFE_SPELLINGS) + "]"
+    att = "[" + ", ".join(O.s(x) for x in CO.ATTACK_SPELLINGS) + "]"
+    return (O.with_("requests") + f"""SELECT request_id, raw_label,
+  CASE WHEN raw_label IN ({', '.join(O.s(x) for x in CO.SAFE_SPELLINGS)}) THEN 0
+       WHEN raw_label IN ({', '.join(O.s(x) for x in CO.ATTACK_SPELLINGS)}) THEN 1 END AS label
+FROM (SELECT request_id, CASE WHEN label = 1 THEN {att}[request_id % {n} + 1]
+                              ELSE {safe}[request_id % {n} + 1] END AS raw_label FROM requests)""")
+
+
+@register("label_normalise", _spelled_label_sql())
+def label_normalise(spark, sf_dir):
+    """Requests written as a training file with spelled labels, read back."""
+    r = T.requests(spark, sf_dir)
+    n = len(CO.SAFE_SPELLINGS)
+    idx = (F.col("request_id") % n + 1).cast("int")
+    spelled = F.when(F.col("label") == 1, F.element_at(F.array(*[F.lit(x) for x in CO.ATTACK_SPELLINGS]), idx)) \
+               .otherwise(F.element_at(F.array(*[F.lit(x) for x in CO.SAFE_SPELLINGS]), idx))
+    raw = r.select("request_id", F.col("query").alias("Payload"), spelled.alias("Class"))
+    good_bad = CO.labelled(raw)
+    assert good_bad is not None
+    return raw.select("request_id", F.col("Class").alias("raw_label"),
+                      CO.normalise_label(F.col("Class")).alias("label"))

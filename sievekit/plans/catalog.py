@@ -548,3 +548,35 @@ def label_normalise(spark, sf_dir):
     assert good_bad is not None
     return raw.select("request_id", F.col("Class").alias("raw_label"),
                       CO.normalise_label(F.col("Class")).alias("label"))
+
+
+# --- §2.11 machine learning (rows-only: model output has no SQL twin) ------------------
+
+def _train_eval(learner: str):
+    def run(spark, sf_dir):
+        from . import ml
+        corpus = T.requests(spark, sf_dir).select("request_id", "query", "label")
+        metrics, _models, _data = ml.train_evaluate(spark, corpus, "request_id", learners=[learner])
+        return metrics
+    return run
+
+
+for _name, _learner in [("train_eval_logistic_regression", "LogisticRegression"),
+                        ("train_eval_random_forest", "RandomForest"),
+                        ("train_eval_svm_rff", "SVM_rff"),
+                        ("train_eval_gradient_boosting", "GradientBoosting"),
+                        ("train_eval_xgboost", "XGBoost")]:
+    register(_name, None)(_train_eval(_learner))
+
+
+@register("screen_with_model", None)
+def screen_with_model(spark, sf_dir):
+    """Fit logistic regression on the training side of requests, then screen
+    every request with it (raw texts whole, URLs per parameter)."""
+    from . import ml
+    from ..operators.score import ModelScorer
+    corpus = T.requests(spark, sf_dir).select("request_id", "query", "label")
+    _m, models, _d = ml.train_evaluate(spark, corpus, "request_id", learners=["LogisticRegression"])
+    v = screen(T.requests(spark, sf_dir), key="request_id", col="query",
+               scorer=ModelScorer(models["LogisticRegression"]), carry=["request_id", "label"])
+    return v.withColumn("params_scored", F.col("params_scored").cast("long"))

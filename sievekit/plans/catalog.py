@@ -580,3 +580,33 @@ def screen_with_model(spark, sf_dir):
     v = screen(T.requests(spark, sf_dir), key="request_id", col="query",
                scorer=ModelScorer(models["LogisticRegression"]), carry=["request_id", "label"])
     return v.withColumn("params_scored", F.col("params_scored").cast("long"))
+
+
+# --- §2.12 streaming (file stream of events, run to completion) -------------------------
+
+@register("stream_screen", O.with_("requests", extra=verdict_ctes()) + """SELECT v.request_id, v.route,
+  v.is_sql_injection, v.confidence, v.probability_injection, v.vulnerable_parameter, r.endpoint
+FROM verdicts v JOIN requests r ON r.request_id = v.request_id""")
+def stream_screen(spark, sf_dir):
+    from ..streaming.jobs import run_screen_stream
+    log_path, _ = run_screen_stream(spark, sf_dir)
+    return spark.read.parquet(log_path).select(
+        "request_id", "route", "is_sql_injection", "confidence", "probability_injection",
+        "vulnerable_parameter", "endpoint")
+
+
+@register("stream_block", O.with_("requests", extra=verdict_ctes()) + """SELECT v.request_id AS id, r.query,
+  r.endpoint, r.created_at AS blocked_at, 'SQL injection detected' AS reason
+FROM verdicts v JOIN requests r ON r.request_id = v.request_id WHERE v.is_sql_injection""")
+def stream_block(spark, sf_dir):
+    from ..streaming.jobs import run_screen_stream
+    _, blocked = run_screen_stream(spark, sf_dir)
+    return spark.read.parquet(blocked).select("id", "query", "endpoint", "blocked_at", "reason")
+
+
+@register("stream_daily", O.with_("query_logs") + """SELECT CAST(created_at AS DATE) AS date,
+  count(*) AS total_queries, count_if(is_sql_injection) AS sql_injections_detected
+FROM query_logs GROUP BY 1""")
+def stream_daily(spark, sf_dir):
+    from ..streaming.jobs import run_daily_counter_stream
+    return spark.read.parquet(run_daily_counter_stream(spark, sf_dir))

@@ -32,13 +32,17 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per event: raw payload, payload in a URL parameter, or plain URL.
+    """One request per event: raw payload, payload in a URL parameter, or plain URL."""
+    return requests_from_events(spark, table(spark, sf_dir, "events"))
 
-    Template choice is ``event_id % 47`` (47 and 3 are coprime, so every
+
+def requests_from_events(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """Template choice is ``event_id % 47`` (47 and 3 are coprime, so every
     template appears in all three shapes). The template side has a fixed
     size of 47 rows, so it is broadcast; the event side is never shuffled.
+    Works on a batch or a streaming ``events`` frame.
     """
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    ev = events.select("event_id", "ts", "user_id", "event_type")
     t = templates(spark)
     n = len(template_rows())
     joined = ev.join(F.broadcast(t), (F.col("event_id") % n) == F.col("tid"))
@@ -68,7 +72,10 @@ def synthetic_probability(request_id) -> "F.Column":
 
 def query_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict log with a synthetic probability in place of a model."""
-    r = requests(spark, sf_dir)
+    return logs_from_requests(requests(spark, sf_dir))
+
+
+def logs_from_requests(r: DataFrame) -> DataFrame:
     p = synthetic_probability(F.col("request_id"))
     inj = p > 0.5
     return r.select(

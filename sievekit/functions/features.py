@@ -174,11 +174,18 @@ def distinct_features() -> list[str]:
 # --- expression builders --------------------------------------------------
 
 def literal_count(text: Column, seq: str) -> Column:
-    """Non-overlapping occurrences of ``seq`` (Python ``str.count``)."""
-    removed = F.length(text) - F.length(F.replace(text, F.lit(seq), F.lit("")))
-    if len(seq) == 1:
+    """Non-overlapping occurrences of ``seq`` (Python ``str.count``).
+
+    Every removed occurrence takes exactly ``bytes(seq)`` UTF-8 bytes with it,
+    so byte lengths (O(1) in Spark) give the count without scanning the text
+    twice more for its character length; ``replace`` with no match returns
+    the text itself without copying.
+    """
+    width = len(seq.encode("utf-8"))
+    removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(seq), F.lit("")))
+    if width == 1:
         return removed.cast("long")
-    return (removed / F.lit(len(seq))).cast("long")
+    return F.floor(removed / F.lit(width)).cast("long")
 
 
 def nesting_depth(text: Column) -> Column:

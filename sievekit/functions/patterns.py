@@ -6,6 +6,8 @@ a row scores one point per rule that matches anywhere.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,10 +66,60 @@ ATTACK_PATTERNS: list[str] = [
 ]
 
 
-def pattern_flags(text: Column, patterns: list[str] | None = None) -> list[Column]:
-    """One boolean Column per rule: does the rule match somewhere in ``text``."""
+# Characters outside ASCII that case-insensitive matching equates with an
+# ASCII letter (long s, Kelvin sign, dotted capital I, dotless small i).
+_FOLD_FROM, _FOLD_TO = "\u017f\u212a\u0130\u0131", "SKII"
+_LITERAL = re.compile(r"[A-Za-z0-9_@%']+")
+_ALTERNATION = re.compile(r"^\(([A-Za-z0-9_]+(?:\|[A-Za-z0-9_]+)+)\)")
+
+
+def required_literals(pattern: str) -> list[str] | None:
+    """Upper-cased literals of which one must occur for ``pattern`` to match:
+    the literal the pattern starts with, or each branch of a leading
+    ``(A|B)``. None when the pattern starts otherwise."""
+    alt = _ALTERNATION.match(pattern)
+    if alt:
+        return [b.upper() for b in alt.group(1).split("|")]
+    m = _LITERAL.match(pattern)
+    if not m:
+        return None
+    lit = m.group(0)
+    # a quantifier after the literal makes its last character optional
+    nxt = pattern[m.end():m.end() + 1]
+    if nxt in ("?", "*", "{"):
+        lit = lit[:-1]
+    return [lit.upper()] if lit else None
+
+
+def folded_upper(text: Column) -> Column:
+    """Upper case after folding the four non-ASCII case partners of ASCII
+    letters: any case-insensitive match of an ASCII literal shows up here as
+    the upper-case literal."""
+    return F.upper(F.translate(text, _FOLD_FROM, _FOLD_TO))
+
+
+def pattern_flags(text: Column, patterns: list[str] | None = None,
+                  folded: Column | None = None) -> list[Column]:
+    """One boolean Column per rule: does the rule match somewhere in ``text``.
+
+    A rule whose match needs a literal is only run on rows whose folded text
+    contains it (a byte search); the regex, slow in case-insensitive Unicode
+    mode, then runs on few rows. The answer is the same with or without the
+    pre-check.
+    """
     rules = ATTACK_PATTERNS if patterns is None else patterns
-    return [text.rlike(spark_ci(portable(p))) for p in rules]
+    folded = folded_upper(text) if folded is None else folded
+    out = []
+    for p in rules:
+        rx = text.rlike(spark_ci(portable(p)))
+        lits = required_literals(p)
+        if lits:
+            gate = folded.contains(lits[0])
+            for extra in lits[1:]:
+                gate = gate | folded.contains(extra)
+            rx = F.when(gate, rx).otherwise(F.when(text.isNotNull(), F.lit(False)))
+        out.append(rx)
+    return out
 
 
 def pattern_count(text: Column, patterns: list[str] | None = None) -> Column:

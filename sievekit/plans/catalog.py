@@ -48,7 +48,7 @@ def _feature_query(name: str, table: str, key: str, text: str, lo: int, hi: int)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         src = T.requests(spark, sf_dir) if table == "requests" else T.table(spark, sf_dir, table)
-        return featurize(src.select(key, text), col=text, features=feats, keep=[key])
+        return featurize(T.spread(src.select(key, text)), col=text, features=feats, keep=[key])
 
     register(name, sql)(run)
 
@@ -80,7 +80,7 @@ def attack_patterns(spark, sf_dir):
   {O.pattern_hits_sql('html')} AS pattern_hits
 FROM pages""")
 def page_attack_patterns(spark, sf_dir):
-    p = T.table(spark, sf_dir, "pages")
+    p = T.spread(T.table(spark, sf_dir, "pages").select("page_id", "html"))
     return p.select("page_id", pattern_count(F.col("html")).alias("pattern_match_count"),
                     F.array_join(pattern_hits(F.col("html")).cast("array<string>"), ",")
                     .alias("pattern_hits"))

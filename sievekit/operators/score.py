@@ -71,87 +71,67 @@ def _verdict_from_prob(p: Column) -> dict[str, Column]:
     }
 
 
-def _project(df: DataFrame, carry: list[str], route: str, cols: dict[str, Column]) -> DataFrame:
-    null_s = F.lit(None).cast("string")
-    base = {
-        "route": F.lit(route),
-        "is_sql_injection": F.lit(False),
-        "confidence": F.lit(None).cast("double"),
-        "probability_safe": F.lit(None).cast("double"),
-        "probability_injection": F.lit(None).cast("double"),
-        "vulnerable_parameter": null_s,
-        "suspicious_value": null_s,
-        "params_scored": F.lit(None).cast("long"),
-        "note": null_s,
-        "error": null_s,
-    }
-    base.update(cols)
-    return df.select(*[F.col(c) for c in carry],
-                     *[base[name].alias(name) for name in VERDICT_COLUMNS])
-
-
-def screen_raw(df: DataFrame, key: str, col: str, scorer, carry: list[str]) -> DataFrame:
-    need = list(dict.fromkeys(carry + [col]))
-    scored = scorer.score(df.select(*need), col, out="_p")
-    return _project(scored, carry, urls.ROUTE_RAW, _verdict_from_prob(F.col("_p")))
-
-
-def screen_urls(df: DataFrame, key: str, col: str, scorer, carry: list[str]) -> DataFrame:
-    others = [c for c in carry if c != key]
-    exploded = urls.explode_params(df, key, col, carry=others)
-    scored = scorer.score(exploded, "value", out="_p")
-    scored = scored.withColumn("_p", F.when(F.col("value").isNull(), F.lit(None))
-                               .otherwise(F.col("_p")))
-    reduced = urls.worst_param(scored, key, prob="_p", carry=others)
-    p = F.col("max_prob")
-    none = F.col("n_params") == 0
-    v = _verdict_from_prob(p)
-    cols = {
-        "is_sql_injection": F.when(none, F.lit(False)).otherwise(v["is_sql_injection"]),
-        "confidence": F.when(none, F.lit(NO_PARAMS_SAFE)).otherwise(v["confidence"]),
-        "probability_safe": F.when(none, F.lit(NO_PARAMS_SAFE)).otherwise(v["probability_safe"]),
-        "probability_injection": F.when(none, F.lit(1 - NO_PARAMS_SAFE))
-                                  .otherwise(v["probability_injection"]),
-        "vulnerable_parameter": F.col("vulnerable_parameter"),
-        "suspicious_value": F.col("suspicious_value"),
-        "params_scored": F.col("params_scored"),
-        "note": F.when(none, F.lit(NO_PARAMS_NOTE)),
-    }
-    return _project(reduced, carry, urls.ROUTE_URL, cols)
-
-
-def screen_invalid(df: DataFrame, carry: list[str]) -> DataFrame:
-    return _project(df, carry, urls.ROUTE_INVALID,
-                    {"confidence": F.lit(0.0), "error": F.lit(INVALID_ERROR)})
-
-
 def screen(df: DataFrame, key: str = "request_id", col: str = "query", scorer=None,
-           carry: list[str] | None = None, routes=(urls.ROUTE_INVALID, urls.ROUTE_URL,
-                                                    urls.ROUTE_RAW)) -> DataFrame:
+           carry: list[str] | None = None) -> DataFrame:
     """Verdict per input row: ``carry`` columns + ``VERDICT_COLUMNS``.
 
-    ``key`` must identify a row (it keys the per-URL reduce). Only the URL
-    branch shuffles (once, on ``key``); the raw and invalid branches are
-    narrow. The three branches read the same scan; Spark reuses it.
+    One pass over the input: every row becomes the items it is judged by (a
+    raw text is one item, a URL its scoreable parameter values, an invalid
+    row none), all items are scored by one scorer call, and one shuffle on
+    ``key`` brings each request's items together for the worst-item reduce.
+    ``key`` must identify a row. Only narrow rows are shuffled: the text of a
+    request travels only if it is in ``carry``, and then only once.
     """
     scorer = scorer or RuleScorer()
     carry = list(carry) if carry is not None else [key, col]
     if key not in carry:
         carry.insert(0, key)
-    routed = df.withColumn("_route", urls.route(F.col(col)))
-    parts = []
-    if urls.ROUTE_INVALID in routes:
-        parts.append(screen_invalid(routed.where(F.col("_route") == urls.ROUTE_INVALID), carry))
-    if urls.ROUTE_URL in routes:
-        parts.append(screen_urls(routed.where(F.col("_route") == urls.ROUTE_URL),
-                                 key, col, scorer, carry))
-    if urls.ROUTE_RAW in routes:
-        parts.append(screen_raw(routed.where(F.col("_route") == urls.ROUTE_RAW),
-                                key, col, scorer, carry))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    others = [c for c in carry if c != key]
+    q = F.col(col)
+    staged = df.select(F.col(key), *[F.col(c).alias(f"_c_{c}") for c in others], q.alias("_text"),
+                       urls.route(q).alias("_route"))
+    params = urls.url_params(F.col("_text"))
+    staged = staged.select("*", F.when(F.col("_route") == urls.ROUTE_URL, params).alias("_params"))
+    raw_item = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("name"),
+                                F.col("_text").alias("value")))
+    items = (F.when(F.col("_route") == urls.ROUTE_RAW, raw_item)
+              .when(F.col("_route") == urls.ROUTE_URL,
+                    F.filter(F.col("_params"), lambda p: ~urls.is_alnum(p["value"]))))
+    inner = [f"_c_{c}" for c in others] + ["_route"]
+    staged = staged.select(F.col(key), *inner,
+                           F.size(F.col("_params")).alias("n_params"), items.alias("_items"))
+    exploded = urls.explode_items(staged, key, "_items", carry=inner + ["n_params"])
+    scored = scorer.score(exploded, "value", out="_p")
+    # A raw text is its own (only) item: once scored, its text is not needed
+    # by the reduce, so it does not travel through the shuffle.
+    scored = scored.select(
+        F.col(key), *inner, "n_params", "param_pos", "param",
+        F.when(F.col("param_pos") >= 0, F.col("value")).alias("value"),
+        F.when(F.col("value").isNull(), F.lit(None)).otherwise(F.col("_p")).alias("_p"))
+    reduced = urls.worst_param(scored, key, prob="_p", carry=inner)
+    route, p = F.col("_route"), F.col("max_prob")
+    is_url, is_raw = route == urls.ROUTE_URL, route == urls.ROUTE_RAW
+    none = is_url & (F.col("n_params") == 0)
+    v = _verdict_from_prob(p)
+    null_s, null_d = F.lit(None).cast("string"), F.lit(None).cast("double")
+    cols = {
+        "route": route,
+        "is_sql_injection": F.when(none | ~(is_url | is_raw), F.lit(False)).otherwise(v["is_sql_injection"]),
+        "confidence": F.when(none, F.lit(NO_PARAMS_SAFE)).when(is_url | is_raw, v["confidence"])
+                       .otherwise(F.lit(0.0)),
+        "probability_safe": F.when(none, F.lit(NO_PARAMS_SAFE)).when(is_url | is_raw, v["probability_safe"])
+                             .otherwise(null_d),
+        "probability_injection": F.when(none, F.lit(1 - NO_PARAMS_SAFE))
+                                  .when(is_url | is_raw, v["probability_injection"]).otherwise(null_d),
+        "vulnerable_parameter": F.when(is_url, F.col("vulnerable_parameter")).otherwise(null_s),
+        "suspicious_value": F.when(is_url, F.col("suspicious_value")).otherwise(null_s),
+        "params_scored": F.when(is_url, F.col("params_scored")).cast("long"),
+        "note": F.when(none, F.lit(NO_PARAMS_NOTE)).otherwise(null_s),
+        "error": F.when(route == urls.ROUTE_INVALID, F.lit(INVALID_ERROR)).otherwise(null_s),
+    }
+    return reduced.select(F.col(key), *[F.col(f"_c_{c}").alias(c) for c in others],
+                          *[cols[n].alias(n) for n in VERDICT_COLUMNS]).select(
+                              *carry, *VERDICT_COLUMNS)
 
 
 def batch_counters(verdicts: DataFrame) -> DataFrame:
@@ -160,4 +140,4 @@ def batch_counters(verdicts: DataFrame) -> DataFrame:
                         F.count_if(F.col("is_sql_injection")).alias("injections_detected"))
 
 
-__all__ = ["screen", "RuleScorer", "ModelScorer", "batch_counters", "FEATURES"]
+__all__ = ["screen", "RuleScorer", "ModelScorer", "batch_counters", "FEATURES", "VERDICT_COLUMNS"]

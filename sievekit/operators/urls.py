@@ -100,6 +100,26 @@ def explode_params(df: DataFrame, key: str, col: str = "query",
     )
 
 
+def explode_items(df: DataFrame, key: str, items: str, carry: list[str] | None = None) -> DataFrame:
+    """One row per item of the ARRAY<STRUCT<pos, name, value>> column ``items``.
+
+    Rows whose array is empty or NULL keep one row with NULL item fields so the
+    reduce sees every key without a join; ``carry`` columns are set on the
+    first row of each key only (NULL elsewhere).
+    """
+    carry = carry or []
+    ex = df.select(F.col(key), *[F.col(c) for c in carry],
+                   F.posexplode_outer(items).alias("_i", "_p"))
+    first = F.coalesce(F.col("_i"), F.lit(0)) == 0
+    return ex.select(
+        F.col(key),
+        *[F.when(first, F.col(c)).alias(c) for c in carry],
+        F.col("_p.pos").alias("param_pos"),
+        F.col("_p.name").alias("param"),
+        F.col("_p.value").alias("value"),
+    )
+
+
 def worst_param(scored: DataFrame, key: str, prob: str = "prob",
                 carry: list[str] | None = None) -> DataFrame:
     """Per request: highest score and the parameter that reached it first.

@@ -233,3 +233,20 @@ def experiments(spark: SparkSession, corpus: DataFrame, key: str, seeds=(0, 1, 2
         data.unpersist()
     return spark.createDataFrame(rows, "seed INT, model STRING, accuracy DOUBLE, precision DOUBLE, "
                                        "recall DOUBLE, f1_score DOUBLE, error STRING")
+
+
+def train_job(spark: SparkSession, out: str, path: str | None = None, fmt: str = "csv",
+              keys: DataFrame | None = None, learners=LEARNERS, test_size: float = 0.2,
+              seed: int = 42, version: str | None = None) -> DataFrame:
+    """Load (or augment) → features → split → fit all → evaluate → keep the best.
+
+    Writes the winning pipeline, its metadata and every candidate's metrics
+    under ``out``; returns the metrics frame.
+    """
+    from ..sources.corpus import load_corpus
+    corpus, _rejects = load_corpus(spark, path, fmt, keys=keys, key="id", seed=seed)
+    metrics, models, data = train_evaluate(spark, corpus, "id", learners, test_size, seed)
+    best = select_best(metrics).first()["model"]
+    save(spark, models[best], best, out, metrics, version)
+    data.unpersist()
+    return spark.read.parquet(f"{out}/model_metrics")

@@ -11,6 +11,7 @@ depend on partitioning or on re-execution.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from .templates import ATTACK_TEMPLATES, SAFE_TEMPLATES
@@ -106,3 +107,27 @@ def augment(keys: DataFrame, key: str, seed: int = 42, safe: list[str] | None =
 def shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """A seeded random order (only when a physical order is wanted)."""
     return df.orderBy(draw(F.col(key), seed, "order"), F.col(key))
+
+
+def load_corpus(spark: SparkSession, path: str | None = None, fmt: str = "csv",
+                keys: DataFrame | None = None, key: str = "id", seed: int = 42,
+                n: int = 10000) -> tuple[DataFrame, DataFrame | None]:
+    """(corpus(id, query, label), rejects or None).
+
+    A readable labelled file wins; with no path, or when its columns cannot
+    be resolved, the corpus is augmented from templates over ``keys`` (or
+    over ``spark.range(n)`` when no keys are given).
+    """
+    if path:
+        try:
+            got = read_labelled(spark, path, fmt)
+        except AnalysisException:  # missing or unreadable source: fall back
+            got = None
+        if got is not None:
+            good, bad = got
+            # Stable key (no row ids exist in a file): hash of the text and its
+            # file. Identical texts share a key and so land on one split side.
+            return good.withColumn(key, F.xxhash64("query", F.input_file_name())), bad
+    if keys is None:
+        keys = spark.range(n).withColumnRenamed("id", key)
+    return augment(keys, key, seed=seed).select(key, "query", "label"), None

@@ -39,3 +39,15 @@ def test_labelled_csv_resolution_and_rejects(spark, tmp_path):
     assert [tuple(r) for r in bad.collect()] == [("x", "maybe")]
     assert CO.resolve_columns(["Text", "text", "Target"]) == ("text", "Target")
     assert CO.resolve_columns(["body", "y"]) == (None, None)
+
+
+def test_corpus_fallback_and_train_job(spark, tmp_path):
+    from sievekit.plans import ml
+    corpus, rejects = CO.load_corpus(spark, None, n=400)
+    assert rejects is None and corpus.count() == 400
+    assert CO.load_corpus(spark, str(tmp_path / "missing.csv"), n=10)[0].count() == 10
+    m = ml.train_job(spark, str(tmp_path / "out"), keys=spark.range(800).withColumnRenamed("id", "id"),
+                     learners=["LogisticRegression"])
+    assert m.count() == 1
+    model, info = ml.load(spark, str(tmp_path / "out"))
+    assert info["model_name"] == "LogisticRegression"

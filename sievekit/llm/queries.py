@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import mixing, url_filter
+from . import exact_dedup, mixing, url_filter
 
 
 def op5_mix_sources(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
     "op5_mix_sources": op5_mix_sources,
+    "op7_exact_dedup": op7_exact_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE = {
     "op5_mix_sources": mixing.ORACLE_SQL,
+    "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_url_filter": url_filter.oracle_sql(),
 }

@@ -3,7 +3,20 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import exact_dedup, mixing, url_filter
+from . import bpe, exact_dedup, mixing, url_filter, warc
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe(spark, sf_dir):
+    return bpe.report(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op3_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op5_mix_sources(spark, sf_dir):
@@ -19,6 +32,8 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op3_warc": op3_warc,
     "op5_mix_sources": op5_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_url_filter": op10_url_filter,

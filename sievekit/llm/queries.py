@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import bpe, exact_dedup, mixing, url_filter, warc
+from . import bpe, exact_dedup, mixing, near_dedup, url_filter, warc
 
 
 def tokenizer_path() -> str:
@@ -19,6 +19,10 @@ def op3_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_url_filter(spark, sf_dir):
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
+    "op4_near_dedup": op4_near_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_url_filter": op10_url_filter,

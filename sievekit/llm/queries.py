@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import bpe, exact_dedup, mixing, near_dedup, url_filter, warc
+from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, url_filter, warc
 
 
 def tokenizer_path() -> str:
@@ -11,6 +11,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark, sf_dir):
     return bpe.report(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -36,6 +40,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
     "op4_near_dedup": op4_near_dedup,

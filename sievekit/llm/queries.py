@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, url_filter, warc
+from . import (bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_classifier, quality_rules,
+               url_filter, warc)
 
 
 def tokenizer_path() -> str:
@@ -31,10 +32,18 @@ def op5_mix_sources(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark, sf_dir):
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -45,7 +54,9 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_near_dedup": op4_near_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_url_filter": op10_url_filter,
 }
 

@@ -9,8 +9,9 @@ Forest: every tree orders the sets by its own sequence of minhash values.
 Sets that agree on the first value form a region; a region that is too large
 goes one value deeper, and so on (adaptive depth). At similarity 0.8 two sets
 share a region of depth 1 in a tree with probability 0.8, of depth 3 with
-0.51: all 20 trees miss a pair with probability 1e-14 to 6e-7.
+0.51: all 16 trees miss a pair with probability 7e-12 to 1e-5.
 
+   Sets whose sketch and size agree with no other of the region leave it.
 1. Neighbours: in each region every set is paired with the next one in
    signature order (longest common prefix). Pairs pass a size test and a
    sketch test, then full sets decide. Confirmed links give first components.
@@ -38,6 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +53,10 @@ WORDS_HELD = 1 << 19  # word hashes a worker keeps at once
 class Params:
     words: int = 4            # words of a shingle
     percent: int = 80         # least similarity, in hundredths
-    trees: int = 20
+    trees: int = 16
     depth: int = 3            # minhash values of a tree
     region: int = 64          # sets above which a region goes deeper
-    sketch_least: int = 30    # equal 4-bit values, of trees * depth, a pair needs
+    sketch_least: int = 23    # equal 4-bit values, of trees * depth, a pair needs
     tile: int = 256           # sets of a tile of a large region
     seed: int = 1
 
@@ -185,15 +187,30 @@ def _tree_rows(reps: DataFrame, p: Params) -> DataFrame:
                 sketches = pa.array([s.tobytes() for s in sketch(sig)], pa.binary())
                 for t in range(p.trees):
                     own = sig[:, t * p.depth:(t + 1) * p.depth]
-                    at = np.int64(t) << np.int64(32) | own[:, 0].astype(np.int64)
                     rest = pa.array([r.tobytes() for r in own[:, 1:].astype(">u4")], pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(at), rest, part.column(0), part.column(1), sketches],
+                        [pa.array(_first_value(t, own)), rest, part.column(0), part.column(1), sketches],
                         names=["at", "rest", "node", "n", "sketch"])
 
     return reps.select("node", "n", "signature").mapInArrow(run, TREE_ROW)
 
 
+def _first_value(tree: int, own: np.ndarray) -> np.ndarray:
+    return np.int64(tree) << np.int64(32) | own[:, 0].astype(np.int64)
+
+
+def _first_counts(reps: DataFrame, p: Params) -> DataFrame:
+    """(at, count): how many sets share a tree's first value."""
+
+    def run(batches):
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4").reshape(-1, p.values)
+            at = [_first_value(t, sig[:, t * p.depth:t * p.depth + 1]) for t in range(p.trees)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at))], names=["at"])
+
+    return reps.select("signature").mapInArrow(run, "at long").groupBy("at").count()
+
+
 def _regions(rows: DataFrame, p: Params) -> DataFrame:
     """Regions of two sets or more among rows whose first value is not hot.
 
@@ -217,6 +234,7 @@ def _regions(rows: DataFrame, p: Params) -> DataFrame:
     def emit(group, out):
         for run_, used in split(group, 0):
             region = _region_id(run_[0], used)
+            run_ = _with_partner(run_, p) if len(run_) <= p.region else run_
             for i, r in enumerate(run_):
                 out.append((region, r[2], r[3], r[4], _next(r, run_[i + 1], p) if i + 1 < len(run_) else None))
 
@@ -266,6 +284,16 @@ def _region_id(row, used: int) -> int:
     return xxhash.xxh3_64_intdigest(row[0].to_bytes(8, "big") + row[1][:used]) >> 1
 
 
+def _with_partner(rows, p: Params):
+    """The rows whose sketch and size agree with some other row."""
+    sketches = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+    sizes = np.array([r[3] for r in rows])
+    near = agreeing(sketches[:, None], sketches, p.values) >= p.sketch_least
+    near &= 100 * np.minimum(sizes[:, None], sizes) >= p.percent * np.maximum(sizes[:, None], sizes)
+    np.fill_diagonal(near, False)
+    return [rows[i] for i in np.flatnonzero(near.any(axis=1))]
+
+
 def _next(one, other, p: Params):
     """The neighbour's node, if the pair can be similar enough."""
     near = agreeing(np.frombuffer(one[4], np.uint8), np.frombuffer(other[4], np.uint8), p.values)
@@ -290,9 +318,9 @@ def forest(reps: DataFrame, n_reps: int, p: Params) -> DataFrame:
     First values that over 1/1000 of the sets share are hot: fewer than 1000
     a tree. They go to the full depth at once, and no task has to hold them.
     """
-    rows = cut(_tree_rows(reps, p), "near-trees")
+    rows = _tree_rows(reps, p)
     large = max(p.region, n_reps // 1000)
-    hot = cut(rows.groupBy("at").count().where(F.col("count") > large).select("at"), "near-hot")
+    hot = cut(_first_counts(reps, p).where(F.col("count") > large).select("at"), "near-hot")
     mark = F.broadcast(hot)  # fewer than trees * 1000 rows
     cold = _regions(rows.join(mark, "at", "left_anti").select(*rows.columns), p)
     deep = _deep_regions(rows.join(mark, "at", "left_semi").select(*rows.columns), p)
@@ -301,18 +329,37 @@ def forest(reps: DataFrame, n_reps: int, p: Params) -> DataFrame:
 
 # --- confirmation on full sets --------------------------------------------------
 
+def _texts(signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, packed text) of the sets that take part in a comparison."""
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                packed = [packer.compress(t.encode()) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())],
+                                                 names=["node", "text"])
+
+    nodes = cut(nodes.distinct(), "near-need")
+    rows = signed.select(F.col("uid").alias("node"), F.col("_doc.text").alias("text")).join(
+        bounded_broadcast(nodes, nodes.count()), "node")
+    return cut(rows.select("node", "text").mapInArrow(run, "node long, text binary"), "near-texts")
+
+
 class _Sets:
     """Sets of the texts last seen, by node."""
 
     def __init__(self, words: int, size: int = 512):
         self.shingles, self.size = Shingler(words), size
+        self.unpack = zstandard.ZstdDecompressor().decompress
         self.held: OrderedDict[int, np.ndarray] = OrderedDict()
 
-    def get(self, node: int, text: str) -> np.ndarray:
+    def get(self, node: int, packed: bytes) -> np.ndarray:
         if node in self.held:
             self.held.move_to_end(node)
             return self.held[node]
-        found = self.held[node] = self.shingles(text)
+        found = self.held[node] = self.shingles(self.unpack(packed).decode())
         if len(self.held) > self.size:
             self.held.popitem(last=False)
         return found
@@ -395,7 +442,7 @@ def _tile_links(rows: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     compared set, one confirmed link to each component it reaches."""
 
     def run(batches):
-        shingles = Shingler(p.words)
+        sets = _Sets(p.words)
         key, members, local = None, [], None
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -404,7 +451,7 @@ def _tile_links(rows: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
                         *(c.to_pylist() for c in batch.slice(lo, 256).columns)):
                     if (region, tile) != key:
                         key, members, local = (region, tile), [], None
-                    own = shingles(text)
+                    own = sets.get(node, text)
                     if role == 0:
                         members.append((node, comp, own))
                         continue
@@ -451,18 +498,17 @@ def _grouped(docs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFram
     reps = folded.withColumnRenamed("uid", "node")  # the first row of a set names it
     n_reps = reps.count()
     regions = forest(reps, n_reps, p)
-    texts_of = cut(regions.select("node").distinct(), "near-need")
-    texts = cut(signed.select(F.col("uid").alias("node"), F.col("_doc.text").alias("text"))
-                .join(bounded_broadcast(texts_of, texts_of.count()), "node"), "near-texts")
+    texts = _texts(signed, regions.select("node"))
 
-    first_pairs = regions.where(F.col("next").isNotNull()).select(
-        F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
+    first_pairs = cut(regions.where(F.col("next").isNotNull()).select(
+        F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct(), "near-pairs")
     first = cut(_confirmed(first_pairs, texts, p), "near-links")
     comps = components(first)
 
     placed = regions.drop("next").join(comps, "node", "left").withColumn(
         "comp", F.coalesce("root", "node")).drop("root")
     pairs, tiles = _rest(cut(placed, "near-placed"), p)
+    pairs = pairs.join(first_pairs, ["a", "b"], "left_anti")  # those have been compared
     more = cut(_confirmed(pairs, texts, p).unionByName(_tile_links(tiles, texts, p)), "near-links")
     links = comps.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return signed, reps, components(links.unionByName(more))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import (bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_classifier, quality_rules,
+from . import (bpe, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules,
                url_filter, warc)
 
 
@@ -40,6 +40,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark, sf_dir):
+    return lm_scoring.lm_score(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filter": op10_url_filter,
 }

@@ -56,7 +56,6 @@ class Params:
     trees: int = 16
     depth: int = 3            # minhash values of a tree
     region: int = 64          # sets above which a region goes deeper
-    sketch_least: int = 23    # equal 4-bit values, of trees * depth, a pair needs
     tile: int = 256           # sets of a tile of a large region
     seed: int = 1
 
@@ -64,6 +63,13 @@ class Params:
     def values(self) -> int:
         return self.trees * self.depth
 
+    @property
+    def sketch_least(self) -> int:
+        """Equal 4-bit values a pair needs: six deviations below the mean at
+        the least similarity, so a pair is missed with probability 1e-8."""
+        q = self.percent / 100 + (1 - self.percent / 100) / 16
+        return int(self.values * q - 6 * (self.values * q * (1 - q)) ** 0.5)
+
 
 # --- sets and signatures ------------------------------------------------------
 
@@ -455,9 +461,9 @@ def _tile_links(rows: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
                     if role == 0:
                         members.append((node, comp, own))
                         continue
-                    if local is None:
-                        local = _Tile(members)
-                    out += local.links(node, comp, own, p.percent)
+                    if members:  # a tile, dealt by hash, may be empty
+                        local = local or _Tile(members)
+                        out += local.links(node, comp, own, p.percent)
                 yield _links_batch(out)
 
     full = rows.join(texts, "node").select("region", "tile", "role", "comp", "node", "text")

@@ -58,7 +58,7 @@ def test_edge_rows_and_mixed_corpus(spark, edge_docs):
     assert report.count() == edge_docs.count()
     assert report.where("size = 0 AND taken > 0").isEmpty()
     mixed = mixing.mix(edge_docs)
-    assert mixed.schema == edge_docs.schema
+    assert mixed.dtypes == edge_docs.dtypes
     words = mixed.select(F.size(F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")).alias("n")).agg(F.sum("n")).first()[0]
     assert words == report.agg(F.sum("taken")).first()[0]
     assert mixed.where(" OR ".join(f"`{c}` <> 'own-{c}'" for c in CLASHING)).isEmpty()

@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are
 #: fewer than HOT_SHARE hot keys however large the input is.
 HOT_SHARE = 1000
+#: Keys of fewer rows are never hot, however small the table.
+HOT_ROWS = 1000
 #: Rows up to which a per-key parameter table may be broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -45,7 +47,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     no hot key and takes the shuffle join. ``left`` should be a cut table,
     since it is read twice.
     """
-    is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
+    is_hot = F.col(weight) > F.lit(max(HOT_ROWS, total // HOT_SHARE))
     cols = [c for c in right.columns if c != key]
     hot = right.where(is_hot)
     cold = right.where(~is_hot)

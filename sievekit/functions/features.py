@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .patterns import pattern_count
-from .rx import NON_SPACE, portable
+from .rx import NON_SPACE, linear, portable
 
 # ---------------------------------------------------------------------------
 # Punctuation counted in the raw text (feature name, sequence),
@@ -155,11 +155,8 @@ FEATURES: list[Feature] = _build_specs()
 FEATURE_NAMES: list[str] = [f.name for f in FEATURES]
 assert len(FEATURES) == 144, len(FEATURES)
 
-# Columns that are exact copies of another (kept for positional parity; a
-# model builder may drop them with ``distinct_features``).
-DUPLICATE_OF = {"double_dash_freq": "double_dash_count",
-                "comment_start_freq": "comment_start_count",
-                "comment_end_freq": "comment_end_count"}
+# Literals that a count feature already looks for.
+COUNTED = {(f.source, f.arg) for f in FEATURES if f.kind == "count"}
 
 
 def feature_group(lo: int, hi: int) -> list[Feature]:
@@ -167,10 +164,6 @@ def feature_group(lo: int, hi: int) -> list[Feature]:
     return [f for f in FEATURES if lo <= f.index <= hi]
 
 
-def distinct_features() -> list[str]:
-    return [n for n in FEATURE_NAMES if n not in DUPLICATE_OF]
-
-
 # --- expression builders --------------------------------------------------
 
 def literal_count(text: Column, seq: str) -> Column:
@@ -219,15 +212,17 @@ def feature_column(f: Feature, q: Column, qu: Column, ql: Column) -> Column:
         n = F.length(src)
         col = F.when(n > 0, literal_count(src, f.arg) / n).otherwise(F.lit(0.0))
     elif k in ("has", "has_all"):
-        tests = [src.contains(lit) for lit in f.arg]
+        # A literal that is also counted needs no pass of its own: the count
+        # is the same subexpression.
+        tests = [literal_count(src, lit) > 0 if (f.source, lit) in COUNTED else src.contains(lit) for lit in f.arg]
         col = tests[0]
         for t in tests[1:]:
             col = (col | t) if k == "has" else (col & t)
         col = col.cast("long")
     elif k == "search":
-        col = src.rlike(portable(f.arg)).cast("long")
+        col = src.rlike(portable(linear(f.arg))).cast("long")
     elif k == "findall":
-        col = F.regexp_count(src, F.lit(portable(f.arg))).cast("long")
+        col = F.regexp_count(src, F.lit(portable(linear(f.arg)))).cast("long")
     elif k == "multi":
         col = (src.contains(";") & (literal_count(src, ";") + 1 > 2)).cast("long")
     elif k == "depth":

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rx import portable, spark_ci
+from .rx import linear, portable, spark_ci
 
 # ---------------------------------------------------------------------------
 # The 44 attack rules, in their original order and spelling
@@ -111,7 +111,7 @@ def pattern_flags(text: Column, patterns: list[str] | None = None,
     folded = folded_upper(text) if folded is None else folded
     out = []
     for p in rules:
-        rx = text.rlike(spark_ci(portable(p)))
+        rx = text.rlike(spark_ci(portable(linear(p))))
         lits = required_literals(p)
         if lits:
             gate = folded.contains(lits[0])
@@ -122,9 +122,9 @@ def pattern_flags(text: Column, patterns: list[str] | None = None,
     return out
 
 
-def pattern_count(text: Column, patterns: list[str] | None = None) -> Column:
+def pattern_count(text: Column, patterns: list[str] | None = None, folded: Column | None = None) -> Column:
     """Number of rules that match (feature ``pattern_match_count``)."""
-    flags = [f.cast("int") for f in pattern_flags(text, patterns)]
+    flags = [f.cast("int") for f in pattern_flags(text, patterns, folded)]
     total = flags[0]
     for f in flags[1:]:
         total = total + f

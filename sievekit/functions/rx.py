@@ -50,6 +50,35 @@ def portable(pattern: str) -> str:
     return "".join(out)
 
 
+def _no_second(opening: str) -> str:
+    """Content of a call's parentheses that does not run past the next such
+    call with content of its own: a match from the earlier opening is then also
+    one from the later, and each opening reads on only as far as the next."""
+    return rf"[^)](?:(?!{opening}[^)])[^)])*+\)"
+
+
+# Patterns that read a long run again from each of its places, and forms that
+# give the same answer in linear time. Searches need one character of a leading
+# or trailing run; counts whose matches end (or begin) at a fixed character
+# need one character of the run before (or after) it.
+_LINEAR = {
+    r"\d+\s*=\s*\d+": r"\d\s*=\s*\d",
+    r"\w+\s*\(": r"\w\s*\(",
+    r"\s+AND\s+": r"\sAND\s+",
+    r"\s+OR\s+": r"\sOR\s+",
+    r"\s+UNION\s+": r"\sUNION\s+",
+    r"IF\s*\([^)]+\)\s*\w+": r"IF\s*\(" + _no_second(r"IF\s*\(") + r"\s*\w",
+    r"IF\s*\([^)]+\)\s*SLEEP": r"IF\s*\(" + _no_second(r"IF\s*\(") + r"\s*SLEEP",
+    r"CHAR\s*\([^)]+\)": r"CHAR\s*\(" + _no_second(r"CHAR\s*\("),
+    r"FLOOR\s*\([^)]*RAND\s*\(": r"FLOOR\s*\((?:(?!FLOOR\s*\(|RAND\s*\()[^)])*+RAND\s*\(",
+}
+
+
+def linear(pattern: str) -> str:
+    """The pattern, or a form with the same answer that is linear on any text."""
+    return _LINEAR.get(pattern, pattern)
+
+
 def spark_ci(pattern: str) -> str:
     """Case-insensitive with Unicode folding in Java (``(?i)`` alone is ASCII)."""
     return "(?iu)" + pattern

@@ -7,6 +7,9 @@ through MLlib's evaluators (their default metrics are class-weighted).
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,12 +74,19 @@ def seed_summary(results: DataFrame, digits: int = 9) -> DataFrame:
 def scaler_statistics(features: DataFrame, names: list[str], digits: int = 9) -> DataFrame:
     """Per-feature mean, population and sample standard deviation.
 
-    The wide frame is unpivoted into (feature, value) and reduced with a
-    partial aggregate, so each task emits at most one row per feature.
+    One vector summary over the rows (each task sends one row of moments);
+    only that single result row is spread out into one row per feature.
     """
-    long = features.select(*[F.col(n).cast("double").alias(n) for n in names]).unpivot(
-        [], names, "feature", "value")
-    return long.groupBy("feature").agg(
-        F.round(F.avg("value"), digits).alias("mean"),
-        F.round(F.stddev_pop("value"), digits).alias("std_pop"),
-        F.round(F.stddev_samp("value"), digits).alias("std_samp"))
+    vector = VectorAssembler(inputCols=names, outputCol="_v", handleInvalid="keep").transform(features)
+    one = vector.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s"))
+    n = F.col("s.count")
+    moments = F.arrays_zip(vector_to_array(F.col("s.mean")).alias("mean"),
+                           vector_to_array(F.col("s.variance")).alias("var"))
+    rows = one.where(n > 0).select(n.alias("n"), F.posexplode(moments).alias("i", "m"))
+    # floor at 0: rounding may leave a tiny negative variance
+    var = F.greatest(F.col("m.var"), F.lit(0.0))
+    return rows.select(
+        F.element_at(F.array(*[F.lit(x) for x in names]), F.col("i") + 1).alias("feature"),
+        F.round(F.col("m.mean"), digits).alias("mean"),
+        F.round(F.sqrt(var * (F.col("n") - 1) / F.col("n")), digits).alias("std_pop"),
+        F.when(F.col("n") > 1, F.round(F.sqrt(var), digits)).alias("std_samp"))

@@ -31,6 +31,17 @@ def append_table(df: DataFrame, path: str, ts: str = "created_at") -> None:
     with_log_date(df, ts).write.mode("append").partitionBy("log_date").parquet(path)
 
 
+def verdict_log(verdicts: DataFrame) -> DataFrame:
+    """Verdicts (with request_id, query, user_id, endpoint, created_at) as rows
+    of the log table. Address and agent follow from the user, as the requests
+    carry none."""
+    rid, user = F.col("request_id"), F.col("user_id")
+    return verdicts.select(
+        rid.alias("id"), "query", "is_sql_injection", "confidence", "probability_safe", "probability_injection",
+        F.concat(F.lit("10.0."), (user % 256).cast("string"), F.lit("."), (rid % 256).cast("string")).alias("ip_address"),
+        F.concat(F.lit("agent-"), (user % 7).cast("string")).alias("user_agent"), "endpoint", "created_at")
+
+
 def blocked_requests(verdicts: DataFrame, reason: Column | None = None,
                      ts: str = "created_at") -> DataFrame:
     """Requests whose verdict is an injection, in blocked_requests shape."""
@@ -43,7 +54,13 @@ def blocked_requests(verdicts: DataFrame, reason: Column | None = None,
 # --- windows and statistics ----------------------------------------------------------
 
 def newest(df: DataFrame, ts: str = "created_at") -> Column:
-    """Scalar subquery: the newest timestamp of ``df``."""
+    """Scalar subquery: the newest timestamp of ``df``.
+
+    On a day-partitioned table the newest day comes from partition values
+    alone, and only that day's rows are read for the time.
+    """
+    if "log_date" in df.columns:
+        df = df.where(F.col("log_date") == df.select(F.max("log_date")).scalar())
     return df.select(F.max(ts)).scalar()
 
 

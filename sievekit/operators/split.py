@@ -1,12 +1,10 @@
 """Exact, reproducible stratified train/test split.
 
 Per label, the rows whose seeded hash is among the ``ceil(n * test_size)``
-smallest go to the test side. Ranking a whole label in one window would put
-half the data in one task, so the rank is found in two steps: rows are
-counted per (label, hash bucket) — a partial aggregate into at most
-``labels × 16^bucket_hex`` rows, small enough to broadcast — which decides
-every bucket that lies wholly below or above the cut; only the one bucket
-per label that straddles the cut is ranked row by row.
+smallest go to the test side. That is one comparison per row once the largest
+hash of the test side is known, and it is found on narrow (label, hash) rows:
+they are counted per hash bucket, and only the one bucket per label in which
+the cut lies is ranked. Rows with equal keys share a hash and stay together.
 """
 
 from __future__ import annotations
@@ -20,24 +18,36 @@ def seeded_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
 
 
-def stratified_split(df: DataFrame, key: str, label: str = "label", test_size: float = 0.2,
-                     seed: int = 42, bucket_hex: int = 4) -> DataFrame:
-    """``df`` plus a boolean ``is_test`` column."""
-    cols = df.columns
-    d = df.withColumn("_h", seeded_hash(F.col(key), seed)).withColumn(
-        "_b", F.substring("_h", 1, bucket_hex))
-    counts = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    per_label = Window.partitionBy(label)
+#: Rows of the cut table (one per label) up to which it is broadcast.
+BROADCAST_LABELS = 100_000
+
+
+def cut_hashes(df: DataFrame, key: str, label: str, test_size: float, seed: int, bucket_hex: int) -> DataFrame:
+    """(label, largest hash of the test side); labels without test rows are absent."""
+    narrow = df.select(label, seeded_hash(F.col(key), seed).alias("_h"))
+    bucket = F.substring("_h", 1, bucket_hex)
+    counts = narrow.groupBy(label, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    per_label = Window.partitionBy(label)  # at most 16^bucket_hex rows
     upto = per_label.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     frac = F.lit(str(test_size)).cast("decimal(12,10)")
-    info = counts.select(
-        label, "_b", "_n",
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
+    edge = counts.select(
+        label, "_b", "_n", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
         F.ceil(F.sum("_n").over(per_label).cast("decimal(20,0)") * frac).cast("long").alias("_k"))
-    j = d.join(F.broadcast(info), [label, "_b"])
-    straddle = (F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_n") > F.col("_k"))
-    whole = j.where(~straddle).select(*cols, (F.col("_before") < F.col("_k")).alias("is_test"))
-    cut = j.where(straddle)
-    rn = F.row_number().over(Window.partitionBy(label).orderBy("_h"))
-    part = cut.select(*cols, (rn <= F.col("_k") - F.col("_before")).alias("is_test"))
-    return whole.unionByName(part)
+    edge = edge.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_n")))
+    inside = narrow.withColumn("_b", bucket).join(F.broadcast(edge) if _few(edge) else edge, [label, "_b"])
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h"))
+    return (inside.withColumn("_r", rank).where(F.col("_r") == F.col("_k") - F.col("_before"))
+            .select(label, F.col("_h").alias("_cut")))
+
+
+def _few(one_row_per_label: DataFrame) -> bool:
+    return one_row_per_label.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+
+
+def stratified_split(df: DataFrame, key: str, label: str = "label", test_size: float = 0.2,
+                     seed: int = 42, bucket_hex: int = 4) -> DataFrame:
+    """``df`` plus a boolean ``is_test`` column."""
+    cuts = cut_hashes(df, key, label, test_size, seed, bucket_hex)
+    joined = df.join(F.broadcast(cuts) if _few(cuts) else cuts, label, "left")
+    is_test = F.coalesce(seeded_hash(F.col(key), seed) <= F.col("_cut"), F.lit(False))
+    return joined.select(*df.columns, is_test.alias("is_test"))

@@ -33,7 +33,7 @@ RECOMMENDATIONS = [
     "4. Apply principle of least privilege to database accounts",
     "5. Enable SQL error message suppression in production",
 ]
-REPORT_TITLE = "SQL INJECTION SCANNER - REPORT"
+REPORT_TITLE = "SQL INJECTION SCREENING - REPORT"
 HTML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")]
 SCAN_DATE_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -143,10 +143,14 @@ def write_export(records: DataFrame, path: str, mode: str = "overwrite") -> None
      .csv(path))
 
 
-def report_text(records: DataFrame) -> DataFrame:
-    """One plain-text report per record (column ``report``)."""
+def report_text(records: DataFrame, title: str = REPORT_TITLE, generated_at: Column | None = None) -> DataFrame:
+    """One plain-text report per record (column ``report``).
+
+    ``generated_at`` (default: now) is the time the report states.
+    """
+    generated = F.date_format(F.current_timestamp() if generated_at is None else generated_at, SCAN_DATE_FORMAT)
     lines = [
-        F.lit(REPORT_TITLE), F.lit("=" * 30), F.lit(""),
+        F.lit(title), F.lit("=" * 30), F.lit(""),
         F.concat(F.lit("URL: "), F.col("url")),
         F.concat(F.lit("Scan Date: "), F.col("scan_date")),
         F.concat(F.lit("Status: "), F.col("status")),
@@ -157,13 +161,14 @@ def report_text(records: DataFrame) -> DataFrame:
         F.concat(F.lit("Log ID: "), F.coalesce(F.col("log_id").cast("string"), F.lit("N/A"))),
         F.lit(""), F.lit("VULNERABILITY DETAILS:"), F.col("description"), F.lit(""),
         F.lit("RECOMMENDATIONS:"), *[F.lit(r) for r in RECOMMENDATIONS],
+        F.lit(""), F.concat(F.lit("Report Generated: "), generated),
     ]
     return records.select("id", F.concat_ws("\n", *lines).alias("report"))
 
 
-def write_reports(records: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_reports(records: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
     """One text record per result (reports contain newlines: JSON keeps them)."""
-    report_text(records).write.mode(mode).json(path)
+    report_text(records, **options).write.mode(mode).json(path)
 
 
 def scan_summary(records: DataFrame) -> DataFrame:

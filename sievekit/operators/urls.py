@@ -1,4 +1,4 @@
-"""URL operators: routing, query-string parameters, per-URL worst parameter.
+"""URL operators: routing, query-string parameters, worst parameter of a URL.
 
 A request is read as a URL when it has a scheme and a host, or contains a
 ``?`` at all.  Its query string is split the way form decoders do it (``&``
@@ -9,7 +9,7 @@ repeat and their order decides ties.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.rx import ALNUM_ONLY
@@ -33,9 +33,15 @@ def is_invalid(q: Column) -> Column:
     return q.isNull() | (q == "")
 
 
-def route(q: Column) -> Column:
-    """'invalid' (NULL or empty), 'url' or 'raw'."""
-    looks_like_url = url_text(q).rlike(_SCHEME_AND_HOST) | q.contains("?")
+def route(q: Column, strict_url: bool = False) -> Column:
+    """'invalid' (NULL or empty), 'url' or 'raw'.
+
+    A text is a URL if it has scheme and host or, unless ``strict_url``,
+    contains a ``?`` anywhere.
+    """
+    looks_like_url = url_text(q).rlike(_SCHEME_AND_HOST)
+    if not strict_url:
+        looks_like_url = looks_like_url | q.contains("?")
     return (F.when(is_invalid(q), F.lit(ROUTE_INVALID))
              .when(looks_like_url, F.lit(ROUTE_URL))
              .otherwise(F.lit(ROUTE_RAW)))
@@ -72,86 +78,29 @@ def is_alnum(value: Column) -> Column:
     return value.rlike(ALNUM_ONLY)
 
 
-def explode_params(df: DataFrame, key: str, col: str = "query",
-                   carry: list[str] | None = None) -> DataFrame:
-    """One row per scoreable parameter value (alphanumeric values skipped).
+def worst_item(items: Column) -> Column:
+    """STRUCT<prob, name, value> of the first highest score of a row's items.
 
-    Requests with nothing to score keep one row with NULL ``param``/``value``
-    so the reduce sees every request without a join.  ``carry`` columns are
-    only set on the first row of each request (NULL elsewhere), so long texts
-    are not copied once per parameter.
-    """
-    carry = carry or []
-    q = F.col(col)
-    params = url_params(q)
-    scoreable = F.filter(params, lambda p: ~is_alnum(p["value"]))
-    staged = df.select(F.col(key), *[F.col(c) for c in carry],
-                       F.size(params).alias("n_params"), scoreable.alias("_s"))
-    ex = staged.select(F.col(key), *[F.col(c) for c in carry], "n_params",
-                       F.posexplode_outer("_s").alias("_i", "_p"))
-    first = F.coalesce(F.col("_i"), F.lit(0)) == 0
-    return ex.select(
-        F.col(key),
-        *[F.when(first, F.col(c)).alias(c) for c in carry],
-        F.when(first, F.col("n_params")).alias("n_params"),
-        F.col("_p.pos").alias("param_pos"),
-        F.col("_p.name").alias("param"),
-        F.col("_p.value").alias("value"),
-    )
-
-
-def explode_items(df: DataFrame, key: str, items: str, carry: list[str] | None = None) -> DataFrame:
-    """One row per item of the ARRAY<STRUCT<pos, name, value>> column ``items``.
-
-    Rows whose array is empty or NULL keep one row with NULL item fields so the
-    reduce sees every key without a join; ``carry`` columns are set on the
-    first row of each key only (NULL elsewhere).
-    """
-    carry = carry or []
-    ex = df.select(F.col(key), *[F.col(c) for c in carry],
-                   F.posexplode_outer(items).alias("_i", "_p"))
-    first = F.coalesce(F.col("_i"), F.lit(0)) == 0
-    return ex.select(
-        F.col(key),
-        *[F.when(first, F.col(c)).alias(c) for c in carry],
-        F.col("_p.pos").alias("param_pos"),
-        F.col("_p.name").alias("param"),
-        F.col("_p.value").alias("value"),
-    )
-
-
-def worst_param(scored: DataFrame, key: str, prob: str = "prob",
-                carry: list[str] | None = None) -> DataFrame:
-    """Per request: highest score and the parameter that reached it first.
-
-    Parameters are visited name by name (names in order of first appearance),
-    values in order, and only a strictly higher score replaces the current
-    worst, starting from 0.0. Exactly that order is rebuilt with two grouped
-    aggregates; the explicit repartition on ``key`` lets both aggregates run
-    after a single shuffle.
+    ``items`` is ARRAY<STRUCT<pos, name, value, prob>>. Names are visited in
+    order of first appearance, the values of a name in order, and only a
+    strictly higher score replaces the worst so far, starting from 0.0. The
+    items are sorted by (name, pos) and folded once; each carries the place of
+    its name. Nothing leaves the row, so no key is needed and nothing shuffles.
     """
-    carry = carry or []
-    pieces = scored.repartition(F.col(key))
-    by_name = pieces.groupBy(key, "param").agg(
-        F.min("param_pos").alias("name_pos"),
-        F.max(prob).alias("name_max"),
-        F.max_by(F.col("value"), F.struct(F.col(prob), -F.col("param_pos"))).alias("name_value"),
-        F.count(prob).alias("n_scored"),
-        F.max("n_params").alias("n_params"),
-        *[F.max(c).alias(c) for c in carry],
-    )
-    per_req = by_name.groupBy(key).agg(
-        F.max("name_max").alias("max_prob"),
-        F.max_by(F.struct(F.col("param").alias("param"), F.col("name_value").alias("value")),
-                 F.struct(F.col("name_max"), -F.col("name_pos"))).alias("_w"),
-        F.sum("n_scored").alias("params_scored"),
-        F.max("n_params").alias("n_params"),
-        *[F.max(c).alias(c) for c in carry],
-    )
-    hit = F.coalesce(F.col("max_prob"), F.lit(0.0)) > 0
-    return per_req.select(
-        F.col(key), *[F.col(c) for c in carry], "n_params", "params_scored",
-        F.coalesce(F.col("max_prob"), F.lit(0.0)).alias("max_prob"),
-        F.when(hit, F.col("_w.param")).alias("vulnerable_parameter"),
-        F.when(hit, F.col("_w.value")).alias("suspicious_value"),
-    )
+    ordered = F.array_sort(F.transform(items, lambda x: F.struct(
+        x["name"].alias("name"), x["pos"].alias("pos"), x["value"].alias("value"),
+        F.coalesce(x["prob"], F.lit(0.0)).alias("prob"))))
+    nobody, nowhere = F.lit(None).cast("string"), F.lit(-1)
+    start = F.struct(F.lit(0.0).alias("prob"), nowhere.alias("at"), nobody.alias("name"), nobody.alias("value"),
+                     nobody.alias("last"), nowhere.alias("last_at"))
+
+    def step(best, x):
+        at = F.when(best["last"] == x["name"], best["last_at"]).otherwise(x["pos"])
+        tie = (x["prob"] == best["prob"]) & (best["prob"] > 0) & (at < best["at"])
+        better = (x["prob"] > best["prob"]) | tie
+        pick = lambda new, old: F.when(better, new).otherwise(old)
+        return F.struct(pick(x["prob"], best["prob"]).alias("prob"), pick(at, best["at"]).alias("at"),
+                        pick(x["name"], best["name"]).alias("name"), pick(x["value"], best["value"]).alias("value"),
+                        x["name"].alias("last"), at.alias("last_at"))
+
+    return F.aggregate(ordered, start, step, lambda b: F.struct(b["prob"], b["name"], b["value"]))

@@ -48,7 +48,7 @@ def _feature_query(name: str, table: str, key: str, text: str, lo: int, hi: int)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         src = T.requests(spark, sf_dir) if table == "requests" else T.table(spark, sf_dir, table)
-        return featurize(T.spread(src.select(key, text)), col=text, features=feats, keep=[key])
+        return featurize(src.select(key, text), col=text, features=feats, keep=[key])
 
     register(name, sql)(run)
 
@@ -80,7 +80,7 @@ def attack_patterns(spark, sf_dir):
   {O.pattern_hits_sql('html')} AS pattern_hits
 FROM pages""")
 def page_attack_patterns(spark, sf_dir):
-    p = T.spread(T.table(spark, sf_dir, "pages").select("page_id", "html"))
+    p = T.table(spark, sf_dir, "pages").select("page_id", "html")
     return p.select("page_id", pattern_count(F.col("html")).alias("pattern_match_count"),
                     F.array_join(pattern_hits(F.col("html")).cast("array<string>"), ",")
                     .alias("pattern_hits"))
@@ -187,13 +187,14 @@ FROM urlv""")
 def url_worst_param(spark, sf_dir):
     r = T.requests(spark, sf_dir)
     u = r.where(urls.route(F.col("query")) == "url").select("request_id", "query")
-    ex = urls.explode_params(u, "request_id", "query")
-    scored = RuleScorer().score(ex, "value", out="_p")
-    scored = scored.withColumn("_p", F.when(F.col("value").isNull(), F.lit(None)).otherwise(F.col("_p")))
-    out = urls.worst_param(scored, "request_id", prob="_p")
-    return out.select("request_id", F.col("n_params").cast("long").alias("n_params"),
-                      F.col("params_scored").cast("long").alias("params_scored"), "max_prob",
-                      "vulnerable_parameter", "suspicious_value")
+    u = u.withColumn("_params", urls.url_params(F.col("query"))).select(
+        "request_id", F.size("_params").cast("long").alias("n_params"), F.lit(None).cast("string").alias("_raw"),
+        F.filter("_params", lambda p: ~urls.is_alnum(p["value"])).alias("_items"))
+    w = RuleScorer().attach(u).withColumn("_w", urls.worst_item(F.col("_scored")))
+    return w.select("request_id", "n_params", F.size("_scored").cast("long").alias("params_scored"),
+                    F.col("_w.prob").alias("max_prob"),
+                    F.when(F.col("_w.prob") > 0, F.col("_w.name")).alias("vulnerable_parameter"),
+                    F.when(F.col("_w.prob") > 0, F.col("_w.value")).alias("suspicious_value"))
 
 
 def rule_verdicts(spark: SparkSession, sf_dir: str, carry=("request_id",)) -> DataFrame:
@@ -215,6 +216,56 @@ def batch_counters_q(spark, sf_dir):
     return batch_counters(rule_verdicts(spark, sf_dir))
 
 
+def _odd_requests(spark, sf_dir):
+    """Requests whose keys repeat (every text three times under one of 97 keys,
+    or under NULL), and rows with NULL or empty text."""
+    r = T.requests(spark, sf_dir)
+    rid = F.col("request_id")
+    key = F.when(rid % 5 > 0, rid % 97)
+    copies = r.select(key.alias("key"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("copy"), rid, "query")
+    text = F.when((rid % 11 == 0) & (F.col("copy") == 1), F.lit("")).when(
+        (rid % 11 == 0) & (F.col("copy") == 2), F.lit(None)).otherwise(F.col("query"))
+    return copies.select("key", "copy", "request_id", text.alias("query"))
+
+
+#: The twin numbers its rows and judges each on its own.
+_ODD_SQL = """SELECT request_id * 3 + copy AS request_id, CASE WHEN r.request_id % 5 > 0 THEN r.request_id % 97 END AS key,
+    copy, r.request_id AS original, CASE WHEN r.request_id % 11 = 0 AND copy = 1 THEN ''
+      WHEN r.request_id % 11 = 0 AND copy = 2 THEN NULL ELSE r.query END AS query
+  FROM base r CROSS JOIN (VALUES (0), (1), (2)) AS c(copy)"""
+
+
+def _odd_sql(tail: str) -> str:
+    """The requests relation replaced by the repeated one."""
+    first = O.with_("requests").replace("requests AS (", "base AS (", 1).rstrip()
+    return first + ",\nrequests AS (" + _ODD_SQL + "),\n" + ",\n".join(verdict_ctes()) + "\n" + tail
+
+
+@register("screen_duplicates", _odd_sql("""SELECT r.key, r.copy, r.original AS request_id, v.* EXCLUDE (request_id)
+FROM requests r JOIN verdicts v ON v.request_id = r.request_id"""))
+def screen_duplicates(spark, sf_dir):
+    """One verdict per row, whatever the key."""
+    return screen(_odd_requests(spark, sf_dir), key="key", col="query", carry=["key", "copy", "request_id"])
+
+
+@register("invalid_guard", _odd_sql("""SELECT r.query IS NULL AS missing, v.route, v.is_sql_injection, v.confidence, v.error, count(*) AS n
+FROM requests r JOIN verdicts v ON v.request_id = r.request_id WHERE v.route = 'invalid' GROUP BY ALL"""))
+def invalid_guard(spark, sf_dir):
+    v = screen(_odd_requests(spark, sf_dir), key="key", col="query", carry=["query"])
+    return v.where(F.col("route") == "invalid").groupBy(
+        F.col("query").isNull().alias("missing"), "route", "is_sql_injection", "confidence", "error").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("strict_url_routes", O.with_("requests") + f"""SELECT CASE WHEN query IS NULL OR query = '' THEN 'invalid'
+  WHEN regexp_matches({O.url_text_sql('query')}, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]') THEN 'url' ELSE 'raw' END AS route,
+  count(*) AS n FROM requests GROUP BY ALL""")
+def strict_url_routes(spark, sf_dir):
+    """Routes when only texts with scheme and host count as URLs."""
+    return screen(T.requests(spark, sf_dir), strict_url=True, carry=["request_id"]).groupBy("route").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 # --- §2.8 triage, §2.1 K5/K6, P7 -------------------------------------------------------
 
 from ..operators import triage as TR  # noqa: E402
@@ -301,14 +352,15 @@ def _report_sql() -> str:
              f"'Injection Probability: ' || {_pct_sql('probability_injection')}",
              "'Log ID: ' || coalesce(CAST(log_id AS VARCHAR), 'N/A')",
              "''", "'VULNERABILITY DETAILS:'", "description", "''", "'RECOMMENDATIONS:'",
-             *[O.s(r) for r in TR.RECOMMENDATIONS]]
+             *[O.s(r) for r in TR.RECOMMENDATIONS], "''", "'Report Generated: ' || scan_date"]
     return (O.with_("query_logs", extra=["rec AS (" + _triage_sql_select() + ")"])
             + f"SELECT id, concat_ws(chr(10), {', '.join(parts)}) AS report FROM rec")
 
 
 @register("report_text", _report_sql())
 def report_text(spark, sf_dir):
-    return TR.report_text(_records(spark, sf_dir))
+    # Stated as generated at the scan, so that a rerun gives the same text.
+    return TR.report_text(_records(spark, sf_dir), generated_at=F.col("scan_date").cast("timestamp"))
 
 
 def _html_escape_sql(x: str) -> str:
@@ -332,6 +384,118 @@ def scan_summary(spark, sf_dir):
     return TR.scan_summary(_records(spark, sf_dir))
 
 
+@register("export_roundtrip", O.with_("query_logs", extra=["rec AS (" + _triage_sql_select() + ")"])
+          + f"""SELECT url AS "URL", status AS "Status", CAST(issues_found AS VARCHAR) AS "Issues Found",
+  severity AS "Severity", {_pct_sql('confidence')} AS "Confidence",
+  {_pct_sql('probability_injection')} AS "Injection Probability",
+  scan_date AS "Scan Date", CAST(log_id AS VARCHAR) AS "Log ID"
+FROM rec""")
+def export_roundtrip(spark, sf_dir):
+    """The CSV export, written and read again: quotes in URLs survive."""
+    path = _shared(spark, "export")
+    TR.write_export(_records(spark, sf_dir), path)
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
+@register("report_roundtrip", _report_sql())
+def report_roundtrip(spark, sf_dir):
+    """The reports, written as JSON records and read again."""
+    path = _shared(spark, "reports")
+    TR.write_reports(_records(spark, sf_dir), path, generated_at=F.col("scan_date").cast("timestamp"))
+    return spark.read.schema("id LONG, report STRING").json(path)
+
+
+# --- the log store: verdicts of this engine, written by day and read again ---------------
+
+def _shared(spark, name: str) -> str:
+    from ..session import ensure_checkpoint_dir
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _store_logs(spark, sf_dir) -> DataFrame:
+    """Screen all requests, append the verdicts by day, return the stored log."""
+    path = _shared(spark, "query_logs")
+    v = screen(T.requests(spark, sf_dir), carry=["request_id", "query", "user_id", "endpoint", "created_at"])
+    LG.append_table(LG.verdict_log(v), path)
+    return spark.read.parquet(path)
+
+
+def _store_feedback(spark, logs: DataFrame) -> DataFrame:
+    """Feedback on every 17th log, appended by day and read again."""
+    path = _shared(spark, "feedback_logs")
+    LG.append_table(T.feedback_from_logs(logs), path)
+    return spark.read.parquet(path)
+
+
+#: The log relation with verdicts in place of the stand-in probability.
+_VERDICT_LOG_SQL = """query_logs AS (
+  SELECT r.request_id AS id, r.query, v.is_sql_injection, v.confidence, v.probability_safe, v.probability_injection,
+         '10.0.' || CAST(r.user_id % 256 AS VARCHAR) || '.' || CAST(r.request_id % 256 AS VARCHAR) AS ip_address,
+         'agent-' || CAST(r.user_id % 7 AS VARCHAR) AS user_agent, r.endpoint, r.created_at
+  FROM requests r JOIN verdicts v ON v.request_id = r.request_id)"""
+
+
+def _verdict_log_with(*extra: str) -> str:
+    return O.with_("requests", extra=[*verdict_ctes(), _VERDICT_LOG_SQL, *extra])
+
+
+@register("log_roundtrip", _verdict_log_with() + """SELECT * FROM query_logs
+WHERE created_at >= (SELECT max(created_at) - INTERVAL 7 DAY FROM query_logs)""")
+def log_roundtrip(spark, sf_dir):
+    """The last seven days of the stored log; only their days are read."""
+    logs = _store_logs(spark, sf_dir)
+    return LG.last_days(logs, 7, LG.newest(logs)).drop("log_date")
+
+
+@register("verdict_statistics", _verdict_log_with(O.feedback_logs_cte(), "anchor AS (SELECT max(created_at) - INTERVAL 7 DAY AS since FROM query_logs)")
+          + """SELECT
+  (SELECT count(*) FROM query_logs, anchor WHERE created_at >= since) AS total_queries,
+  (SELECT count_if(is_sql_injection) FROM query_logs, anchor WHERE created_at >= since) AS sql_injections_detected,
+  (SELECT count_if(feedback_type = 'false_positive') FROM feedback_logs, anchor WHERE created_at >= since) AS false_positives,
+  (SELECT count_if(feedback_type = 'false_negative') FROM feedback_logs, anchor WHERE created_at >= since) AS false_negatives,
+  7 AS days""")
+def verdict_statistics(spark, sf_dir):
+    logs = _store_logs(spark, sf_dir)
+    return LG.statistics(logs, _store_feedback(spark, logs.drop("log_date")), days=7)
+
+
+@register("verdict_triage", _verdict_log_with("rec AS (" + _triage_sql_select() + ")")
+          + "SELECT status, severity, issues_found, vulnerability_type, description, count(*) AS n FROM rec GROUP BY ALL")
+def verdict_triage(spark, sf_dir):
+    return TR.triage(_store_logs(spark, sf_dir)).groupBy(
+        "status", "severity", "issues_found", "vulnerability_type", "description").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("verdict_feedback_corpus", _verdict_log_with(O.feedback_logs_cte()) + """SELECT l.id AS query_log_id, l.query,
+  CAST(x.actual_label AS INTEGER) AS label
+FROM (SELECT query_log_id, arg_max(actual_label, (created_at, id)) AS actual_label
+      FROM feedback_logs GROUP BY query_log_id) x
+JOIN query_logs l ON l.id = x.query_log_id""")
+def verdict_feedback_corpus(spark, sf_dir):
+    logs = _store_logs(spark, sf_dir).drop("log_date")
+    return LG.feedback_corpus(_store_feedback(spark, logs).drop("log_date"), logs)
+
+
+@register("daily_table", _verdict_log_with(O.feedback_logs_cte(),
+    """l AS (SELECT CAST(created_at AS DATE) AS date, count(*) AS total_queries,
+                 count_if(is_sql_injection) AS sql_injections_detected FROM query_logs GROUP BY 1)""",
+    """f AS (SELECT CAST(created_at AS DATE) AS date,
+                 count_if(feedback_type = 'false_positive') AS false_positives,
+                 count_if(feedback_type = 'false_negative') AS false_negatives FROM feedback_logs GROUP BY 1)""")
+          + """SELECT coalesce(l.date, f.date) AS date, coalesce(total_queries, 0) AS total_queries,
+  coalesce(sql_injections_detected, 0) AS sql_injections_detected,
+  coalesce(false_positives, 0) AS false_positives, coalesce(false_negatives, 0) AS false_negatives
+FROM l FULL OUTER JOIN f ON l.date = f.date""")
+def daily_table(spark, sf_dir):
+    """The daily table, written twice: the second write replaces its days."""
+    logs = _store_logs(spark, sf_dir).drop("log_date")
+    daily, path = LG.daily_statistics(logs, _store_feedback(spark, logs).drop("log_date")), _shared(spark, "daily")
+    LG.write_daily_statistics(daily, path)
+    LG.write_daily_statistics(daily, path)
+    return spark.read.parquet(path).drop("updated_at")
+
+
 # --- §2.9 A1-A4, §2.10 O1/O2, §2.7 joins, K3 --------------------------------------------
 
 STATS_SQL = O.with_("feedback_logs", extra=[
@@ -485,11 +649,14 @@ def scaler_stats(spark, sf_dir):
     return EV.scaler_statistics(fx, FEATURE_NAMES, digits=6)
 
 
-@register("stratified_split", O.with_("requests") + """SELECT request_id, label, rn <= k AS is_test FROM (
+SPLIT_SQL_BODY = """SELECT request_id, label, rn <= k AS is_test FROM (
   SELECT request_id, label,
          row_number() OVER (PARTITION BY label ORDER BY md5(CAST(request_id AS VARCHAR) || '|42')) AS rn,
          ceil(count(*) OVER (PARTITION BY label) * 0.2) AS k
-  FROM requests)""")
+  FROM requests)"""
+
+
+@register("stratified_split", O.with_("requests") + SPLIT_SQL_BODY)
 def stratified_split_q(spark, sf_dir):
     r = T.requests(spark, sf_dir).select("request_id", "label")
     return stratified_split(r, "request_id", "label", test_size=0.2, seed=42)
@@ -499,65 +666,134 @@ def _draw_sql(k: str, seed: int, tag: str) -> str:
     return f"CAST(('0x' || substr(md5(CAST({k} AS VARCHAR) || '|{seed}|{tag}'), 1, 8)) AS BIGINT)"
 
 
+TURN_KEY_SQL = "conv_id || '-' || turn"
+
+
 def _augment_sql(seed: int = 42) -> str:
-    from ..sources.templates import ATTACK_TEMPLATES, SAFE_TEMPLATES
-    safe = "[" + ", ".join(O.s(x) for x in SAFE_TEMPLATES) + "]"
+    from ..sources.templates import ATTACK_TEMPLATES
     att = "[" + ", ".join(O.s(x) for x in ATTACK_TEMPLATES) + "]"
-    k = "o_orderkey"
-    d = {t: _draw_sql(k, seed, t) for t in ("label", "safe", "attack", "vary", "num", "prefix")}
-    ns, na = len(SAFE_TEMPLATES), len(ATTACK_TEMPLATES)
-    return f"""WITH d AS (SELECT {k}, {d['label']} % 2 = 1 AS is_attack, {d['safe']} % {ns} AS si,
-  {d['attack']} % {na} AS ai, {d['vary']} % 10 AS vary, {d['num']} % 99 + 1 AS num, {d['prefix']} % {ns} AS pi
-  FROM orders)
-SELECT {k},
-  CASE WHEN is_attack THEN (CASE WHEN vary < 3 THEN {safe}[pi + 1] || ' ' || {att}[ai + 1] ELSE {att}[ai + 1] END)
-       ELSE (CASE WHEN vary < 5 THEN replace({safe}[si + 1], '1', CAST(num AS VARCHAR)) ELSE {safe}[si + 1] END)
-  END AS query,
-  CASE WHEN is_attack THEN 1 ELSE 0 END AS label,
-  CAST(CASE WHEN is_attack THEN ai + {ns} ELSE si END AS INTEGER) AS tid
-FROM d"""
+    d = {t: _draw_sql("key", seed, t) for t in ("label", "attack", "vary", "num")}
+    return f"""SELECT key,
+  CASE WHEN is_attack AND vary < 3 THEN text || ' ' || {att}[ai + 1]
+       WHEN is_attack THEN {att}[ai + 1] || ' ' || text
+       WHEN vary < 5 THEN replace(text, '1', CAST(num AS VARCHAR)) ELSE text END AS query,
+  CASE WHEN is_attack THEN 1 ELSE 0 END AS label, CAST(CASE WHEN is_attack THEN ai ELSE -1 END AS INTEGER) AS tid
+FROM (SELECT key, text, {d['label']} % 2 = 1 AS is_attack, {d['attack']} % {len(ATTACK_TEMPLATES)} AS ai,
+        {d['vary']} % 10 AS vary, {d['num']} % 99 + 1 AS num
+      FROM (SELECT {TURN_KEY_SQL} AS key, coalesce(text, '') AS text FROM conversations))"""
+
+
+def _turn_corpus(spark, sf_dir):
+    return CO.augment(T.table(spark, sf_dir, "conversations"), F.concat_ws("-", "conv_id", "turn"), "text", seed=42)
 
 
 @register("augment_corpus", _augment_sql())
 def augment_corpus(spark, sf_dir):
-    keys = T.table(spark, sf_dir, "orders").select("o_orderkey")
-    return CO.augment(keys, "o_orderkey", seed=42)
+    """Every conversation turn as a safe or an attacked sample."""
+    return _turn_corpus(spark, sf_dir)
+
+
+@register("shuffle_corpus", f"SELECT key, label, {_draw_sql('key', 42, 'order')} AS draw FROM ({_augment_sql()})")
+def shuffle_corpus(spark, sf_dir):
+    return CO.shuffle(_turn_corpus(spark, sf_dir).select("key", "label"), "key", seed=42)
+
+
+@register("template_group_split", f"""SELECT tid, label, count(*) AS n, CASE WHEN label = 1 THEN
+  ceil((SELECT count(DISTINCT tid) FROM ({_augment_sql()}) WHERE label = 1) * 0.2) >= row_number() OVER (
+    PARTITION BY label ORDER BY md5(CAST(tid AS VARCHAR) || '|42')) ELSE false END AS is_test
+FROM ({_augment_sql()}) GROUP BY tid, label""")
+def template_group_split(spark, sf_dir):
+    """Split by template: the samples of one attack template stay on one side."""
+    corpus = _turn_corpus(spark, sf_dir)
+    attacks = corpus.where("label = 1").select("tid", "label").distinct()
+    sides = stratified_split(attacks, "tid", "label", test_size=0.2, seed=42).select("tid", "is_test")
+    return (corpus.groupBy("tid", "label").agg(F.count(F.lit(1)).alias("n"))
+            .join(F.broadcast(sides), "tid", "left")  # one row per template
+            .withColumn("is_test", F.coalesce("is_test", F.lit(False))))
+
+
+#: Spellings written into the labelled file; the last two are not accepted.
+WRITTEN_SPELLINGS = {0: [*CO.SAFE_SPELLINGS, "benign"], 1: [*CO.ATTACK_SPELLINGS, "SQL_INJECTION"]}
 
 
 def _spelled_label_sql() -> str:
-    n = len(CO.SAFE_SPELLINGS)
-    safe = "[" + ", ".join(O.s(x) for x in CO.SAFE_SPELLINGS) + "]"
-    att = "[" + ", ".join(O.s(x) for x in CO.ATTACK_SPELLINGS) + "]"
-    return (O.with_("requests") + f"""SELECT request_id, raw_label,
+    arrays = {k: "[" + ", ".join(O.s(x) for x in v) + "]" for k, v in WRITTEN_SPELLINGS.items()}
+    n = len(WRITTEN_SPELLINGS[0])
+    return (O.with_("requests") + f"""SELECT request_id, query, raw_label,
   CASE WHEN raw_label IN ({', '.join(O.s(x) for x in CO.SAFE_SPELLINGS)}) THEN 0
        WHEN raw_label IN ({', '.join(O.s(x) for x in CO.ATTACK_SPELLINGS)}) THEN 1 END AS label
-FROM (SELECT request_id, CASE WHEN label = 1 THEN {att}[request_id % {n} + 1]
-                              ELSE {safe}[request_id % {n} + 1] END AS raw_label FROM requests)""")
+FROM (SELECT request_id, query, CASE WHEN label = 1 THEN {arrays[1]}[request_id % {n} + 1]
+                              ELSE {arrays[0]}[request_id % {n} + 1] END AS raw_label FROM requests)""")
 
 
-@register("label_normalise", _spelled_label_sql())
-def label_normalise(spark, sf_dir):
-    """Requests written as a training file with spelled labels, read back."""
+def _spelled(spark, sf_dir):
+    """Requests as a training file has them: other column names, spelled labels."""
     r = T.requests(spark, sf_dir)
-    n = len(CO.SAFE_SPELLINGS)
-    idx = (F.col("request_id") % n + 1).cast("int")
-    spelled = F.when(F.col("label") == 1, F.element_at(F.array(*[F.lit(x) for x in CO.ATTACK_SPELLINGS]), idx)) \
-               .otherwise(F.element_at(F.array(*[F.lit(x) for x in CO.SAFE_SPELLINGS]), idx))
-    raw = r.select("request_id", F.col("query").alias("Payload"), spelled.alias("Class"))
-    good_bad = CO.labelled(raw)
-    assert good_bad is not None
-    return raw.select("request_id", F.col("Class").alias("raw_label"),
-                      CO.normalise_label(F.col("Class")).alias("label"))
+    pick = lambda k: F.element_at(F.array(*[F.lit(x) for x in WRITTEN_SPELLINGS[k]]),
+                                  (F.col("request_id") % len(WRITTEN_SPELLINGS[0]) + 1).cast("int"))
+    return r.select("request_id", F.col("query").alias("Payload"),
+                    F.when(F.col("label") == 1, pick(1)).otherwise(pick(0)).alias("Class"))
+
+
+@register("label_normalise", f"SELECT query, label, count(*) AS n FROM ({_spelled_label_sql()}) WHERE label IS NOT NULL GROUP BY ALL")
+def label_normalise(spark, sf_dir):
+    """The accepted rows of the file, by text and label."""
+    good, _ = CO.labelled(_spelled(spark, sf_dir))
+    return good.groupBy("query", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- §2.11 machine learning (rows-only: model output has no SQL twin) ------------------
+@register("reject_labels", f"SELECT raw_label, count(*) AS n FROM ({_spelled_label_sql()}) WHERE label IS NULL GROUP BY ALL")
+def reject_labels(spark, sf_dir):
+    """Rows whose label has no accepted spelling, set aside."""
+    _, bad = CO.labelled(_spelled(spark, sf_dir))
+    return bad.groupBy("raw_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+_RESOLVED = {"labels": (None, None), "conversations": ("text", None), "documents": ("text", None),
+             "events": (None, None)}
+
+
+@register("column_resolve", " UNION ALL ".join(
+    f"SELECT '{t}' AS name, {O.s(q) if q else 'CAST(NULL AS VARCHAR)'} AS text_column, "
+    f"{O.s(lab) if lab else 'CAST(NULL AS VARCHAR)'} AS label_column, count(*) AS n FROM {t}"
+    for t, (q, lab) in _RESOLVED.items())
+    + " UNION ALL SELECT 'training file', 'Payload', 'Class', count(*) FROM events")
+def column_resolve(spark, sf_dir):
+    """Text and label column that each table resolves to, and its rows."""
+    tables = [(t, T.table(spark, sf_dir, t)) for t in _RESOLVED] + [("training file", _spelled(spark, sf_dir))]
+    out = []
+    for name, df in tables:
+        q, lab = CO.resolve_columns(df.columns)
+        out.append(df.agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(name).alias("name"), F.lit(q).cast("string").alias("text_column"),
+            F.lit(lab).cast("string").alias("label_column"), "n"))
+    result = out[0]
+    for o in out[1:]:
+        result = result.unionByName(o)
+    return result
+
+
+# --- §2.11 machine learning ---------------------------------------------------------------
+# Fitted models have no SQL twin; the facts that any right run must show have.
+
+F1_FLOOR = 0.9
+
+
+def _split_facts_sql(model: str) -> str:
+    return O.with_("requests") + f"""SELECT '{model}' AS model, count_if(NOT is_test) AS n_train,
+  count_if(is_test) AS n_test, count_if(is_test AND label = 1) AS attacks, count_if(is_test AND label = 0) AS safe,
+  true AS f1_reached
+FROM ({SPLIT_SQL_BODY})"""
+
 
 def _train_eval(learner: str):
     def run(spark, sf_dir):
         from . import ml
         corpus = T.requests(spark, sf_dir).select("request_id", "query", "label")
         metrics, _models, _data = ml.train_evaluate(spark, corpus, "request_id", learners=[learner])
-        return metrics
+        return metrics.select("model", "n_train", "n_test", (F.col("tp") + F.col("fn")).alias("attacks"),
+                              (F.col("tn") + F.col("fp")).alias("safe"),
+                              (F.col("f1_score") >= F1_FLOOR).alias("f1_reached"))
     return run
 
 
@@ -565,11 +801,13 @@ for _name, _learner in [("train_eval_logistic_regression", "LogisticRegression")
                         ("train_eval_random_forest", "RandomForest"),
                         ("train_eval_svm_rff", "SVM_rff"),
                         ("train_eval_gradient_boosting", "GradientBoosting"),
-                        ("train_eval_xgboost", "XGBoost")]:
-    register(_name, None)(_train_eval(_learner))
+                        ("train_eval_xgboost_gbt", "XGBoost_gbt")]:
+    register(_name, _split_facts_sql(_learner))(_train_eval(_learner))
 
 
-@register("screen_with_model", None)
+@register("screen_with_model", O.with_("requests", extra=verdict_ctes()) + """SELECT r.request_id, v.route, r.label,
+  v.params_scored, v.note, true AS consistent
+FROM requests r JOIN verdicts v ON v.request_id = r.request_id""")
 def screen_with_model(spark, sf_dir):
     """Fit logistic regression on the training side of requests, then screen
     every request with it (raw texts whole, URLs per parameter)."""
@@ -579,17 +817,46 @@ def screen_with_model(spark, sf_dir):
     _m, models, _d = ml.train_evaluate(spark, corpus, "request_id", learners=["LogisticRegression"])
     v = screen(T.requests(spark, sf_dir), key="request_id", col="query",
                scorer=ModelScorer(models["LogisticRegression"]), carry=["request_id", "label"])
-    return v.withColumn("params_scored", F.col("params_scored").cast("long"))
+    p, inj = F.col("probability_injection"), F.col("is_sql_injection")
+    consistent = (p.between(0, 1) & (inj == (p > 0.5)) & (F.col("probability_safe") == 1 - p)
+                  & (F.col("vulnerable_parameter").isNull() | (F.col("route") == "url")))
+    return v.select("request_id", "route", "label", "params_scored", "note", consistent.alias("consistent"))
+
+
+EXPERIMENT_LEARNERS = ["LogisticRegression", "RandomForest", "GradientBoosting"]
+
+
+@register("experiments", " UNION ALL ".join(
+    f"SELECT '{m}' AS model_id, 2 AS n_seeds, 0 AS n_failed, true AS accurate" for m in EXPERIMENT_LEARNERS))
+def experiments(spark, sf_dir):
+    """Two seeds, three learners at default settings with few rounds, summed
+    up per model."""
+    from . import ml
+    corpus = T.requests(spark, sf_dir).select("request_id", "query", "label")
+    rows = ml.experiments(spark, corpus, "request_id", seeds=(0, 1), learners=EXPERIMENT_LEARNERS, rounds=5)
+    summary = EV.seed_summary(rows.withColumnRenamed("model", "model_id"))
+    return summary.select("model_id", "n_seeds", "n_failed", (F.col("mean_accuracy") >= F1_FLOOR).alias("accurate"))
 
 
 # --- §2.12 streaming (file stream of events, run to completion) -------------------------
 
+_STREAM_RUNS: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def _screen_stream(spark, sf_dir):
+    """One run writes both sinks: the second query of a session reads them."""
+    from ..streaming.jobs import run_screen_stream
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STREAM_RUNS:
+        _STREAM_RUNS[at] = run_screen_stream(spark, sf_dir)
+    return _STREAM_RUNS[at]
+
+
 @register("stream_screen", O.with_("requests", extra=verdict_ctes()) + """SELECT v.request_id, v.route,
   v.is_sql_injection, v.confidence, v.probability_injection, v.vulnerable_parameter, r.endpoint
 FROM verdicts v JOIN requests r ON r.request_id = v.request_id""")
 def stream_screen(spark, sf_dir):
-    from ..streaming.jobs import run_screen_stream
-    log_path, _ = run_screen_stream(spark, sf_dir)
+    log_path, _ = _screen_stream(spark, sf_dir)
     return spark.read.parquet(log_path).select(
         "request_id", "route", "is_sql_injection", "confidence", "probability_injection",
         "vulnerable_parameter", "endpoint")
@@ -599,8 +866,7 @@ def stream_screen(spark, sf_dir):
   r.endpoint, r.created_at AS blocked_at, 'SQL injection detected' AS reason
 FROM verdicts v JOIN requests r ON r.request_id = v.request_id WHERE v.is_sql_injection""")
 def stream_block(spark, sf_dir):
-    from ..streaming.jobs import run_screen_stream
-    _, blocked = run_screen_stream(spark, sf_dir)
+    _, blocked = _screen_stream(spark, sf_dir)
     return spark.read.parquet(blocked).select("id", "query", "endpoint", "blocked_at", "reason")
 
 

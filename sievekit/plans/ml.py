@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
@@ -28,15 +30,17 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, Ty
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.features import FEATURE_NAMES, assemble, featurize
 from ..operators.evaluation import best_model, binary_metrics
 from ..operators.split import stratified_split
+from ..session import ensure_checkpoint_dir
 
-LEARNERS = ["RandomForest", "XGBoost", "GradientBoosting", "LogisticRegression", "SVM_rff"]
-SCALED = {"LogisticRegression", "SVM_rff"}
-
+#: XGBoost is approximated by MLlib boosted trees, the RBF SVM by random
+#: Fourier features and a linear SVM; their names say so.
+LEARNERS = ["RandomForest", "XGBoost_gbt", "GradientBoosting", "LogisticRegression", "SVM_rff"]
 
 # --- kernel SVM: random Fourier features + linear SVM + Platt scaling ----------------
 
@@ -52,9 +56,9 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol,
     """z(x) = sqrt(2/D)·cos(xW + b): an explicit map whose inner product
     approximates the RBF kernel exp(-gamma·|x-y|²) (Rahimi & Recht, 2007).
 
-    The projection is a fixed-size matrix (inputs × D) regenerated from the
-    seed on each executor; rows are mapped in Arrow batches by one matrix
-    product per batch.
+    The projection is a fixed-size matrix (inputs × D) drawn from the seed
+    once per task; rows are mapped in Arrow batches by one matrix product per
+    batch.
     """
 
     numFeatures = Param(Params._dummy(), "numFeatures", "output dimension D",
@@ -75,15 +79,12 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol,
         gamma, seed = self.getOrDefault(self.gamma), self.getOrDefault(self.seed)
         scale = math.sqrt(2.0 / d_out)
 
-        @F.pandas_udf(ArrayType(DoubleType()))
-        def project(xs: pd.Series) -> pd.Series:
+        def project(batches):
             w, b = _rff_weights(d_in, d_out, gamma, seed)
-            if len(xs) == 0:
-                return pd.Series([], dtype=object)
-            x = np.stack(xs.to_numpy())
-            z = scale * np.cos(x @ w + b)
-            return pd.Series(list(z))
+            for xs in batches:
+                yield pd.Series(list(scale * np.cos(np.stack(xs.to_numpy()) @ w + b)) if len(xs) else [], dtype=object)
 
+        project = F.pandas_udf(project, ArrayType(DoubleType()), PandasUDFType.SCALAR_ITER)
         arr = vector_to_array(F.col(self.getInputCol()))
         return df.withColumn(self.getOutputCol(), array_to_vector(project(arr)))
 
@@ -104,43 +105,63 @@ class MarginColumn(Transformer, HasInputCol, HasOutputCol,
 
 # --- learners -----------------------------------------------------------------------------
 
-def learner_stages(name: str, n_train: int, seed: int = 42, defaults: bool = False) -> list:
+def learner_stages(name: str, n_train: int, seed: int = 42, defaults: bool = False,
+                   rounds: int = 200) -> list:
     """Pipeline stages after the 'features' vector for one learner.
 
     ``defaults=True`` uses each library's default depth/size (the multi-seed
-    experiment setting) instead of the tuned training configuration.
+    experiment setting) instead of the tuned training configuration; MLlib
+    forests stop at depth 30 where that setting has no limit. ``rounds`` is the
+    number of boosting rounds and of forest trees.
     """
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+    boosted = dict(featuresCol="features", labelCol="label", maxIter=rounds, seed=seed, cacheNodeIds=True,
+                   checkpointInterval=10)
     if name == "RandomForest":
-        kw = dict(numTrees=200, seed=seed, featureSubsetStrategy="sqrt")
+        kw = dict(numTrees=rounds, seed=seed, featureSubsetStrategy="sqrt")
         kw.update(dict(maxDepth=30, minInstancesPerNode=1) if defaults else
                   dict(maxDepth=20, minInstancesPerNode=2))
         return [RandomForestClassifier(featuresCol="features", labelCol="label", **kw)]
-    if name == "XGBoost":
-        depth = 6 if defaults else 10
-        step = 0.3 if defaults else 0.1
-        return [GBTClassifier(featuresCol="features", labelCol="label", maxIter=200, maxDepth=depth,
-                              stepSize=step, subsamplingRate=0.8, seed=seed)]
+    if name == "XGBoost_gbt":
+        return [GBTClassifier(maxDepth=6 if defaults else 10, stepSize=0.3 if defaults else 0.1, **boosted)]
     if name == "GradientBoosting":
-        depth = 3 if defaults else 10
-        return [GBTClassifier(featuresCol="features", labelCol="label", maxIter=200, maxDepth=depth,
-                              stepSize=0.1, seed=seed)]
+        return [GBTClassifier(maxDepth=3 if defaults else 10, stepSize=0.1, **boosted)]
     if name == "LogisticRegression":
-        return [scaler, LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=1000,
-                                           regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                                           standardization=False)]
-    if name == "SVM_rff":
-        return [scaler,
-                RandomFourierFeatures(inputCol="scaled", outputCol="rff", seed=seed,
-                                      inputDim=len(FEATURE_NAMES)),
-                LinearSVC(featuresCol="rff", labelCol="label", maxIter=200,
-                          regParam=1.0 / max(n_train, 1), rawPredictionCol="svm_raw",
-                          predictionCol="svm_prediction"),
-                MarginColumn(inputCol="svm_raw", outputCol="margin"),
-                LogisticRegression(featuresCol="margin", labelCol="label", maxIter=100, regParam=0.0)]
+        return [_scaler(), LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=1000,
+                                              regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
+                                              standardization=False)]
     raise ValueError(name)
 
 
+def _scaler() -> StandardScaler:
+    return StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+
+
+CALIBRATION_SHARE = 5  # every fifth training row calibrates the SVM's margin
+
+
+def fit_svm(train: DataFrame, n_train: int, seed: int = 42) -> PipelineModel:
+    """RBF SVM stand-in with calibrated probabilities.
+
+    gamma follows the 'scale' rule 1 / (d * Var(X)): on standardised columns
+    the variance is the share of columns that are not constant. The logistic
+    curve over the margin is fitted on rows that the SVM it calibrates has not
+    seen; the SVM kept is then fitted on all training rows.
+    """
+    scaler = _scaler().fit(train)
+    varied = int(np.count_nonzero(scaler.std.toArray()))
+    features = RandomFourierFeatures(inputCol="scaled", outputCol="rff", seed=seed, inputDim=len(FEATURE_NAMES),
+                                     gamma=1.0 / max(varied, 1))
+    svm = LinearSVC(featuresCol="rff", labelCol="label", maxIter=200, regParam=1.0 / max(n_train, 1),
+                    rawPredictionCol="svm_raw", predictionCol="svm_prediction")
+    margin = MarginColumn(inputCol="svm_raw", outputCol="margin")
+    curve = LogisticRegression(featuresCol="margin", labelCol="label", maxIter=100, regParam=0.0)
+    mapped = features.transform(scaler.transform(train))
+    aside = F.pmod(F.xxhash64(vector_to_array("features")), F.lit(CALIBRATION_SHARE)) == 0
+    some = svm.fit(mapped.where(~aside))
+    fitted = curve.fit(margin.transform(some.transform(mapped.where(aside))))
+    return PipelineModel([scaler, features, svm.fit(mapped), margin, fitted])
+
+
 def prepare(corpus: DataFrame, col: str = "query", label: str = "label",
             keep: list[str] | None = None) -> DataFrame:
     """(…, features VECTOR, label DOUBLE) from a (query, label) corpus."""
@@ -149,8 +170,11 @@ def prepare(corpus: DataFrame, col: str = "query", label: str = "label",
     return assemble(featurize(base, "query", keep=[*keep, "label"]))
 
 
-def fit(name: str, train: DataFrame, n_train: int, seed: int = 42, defaults: bool = False) -> PipelineModel:
-    return Pipeline(stages=learner_stages(name, n_train, seed, defaults)).fit(train)
+def fit(name: str, train: DataFrame, n_train: int, seed: int = 42, defaults: bool = False,
+        rounds: int = 200) -> PipelineModel:
+    if name == "SVM_rff":
+        return fit_svm(train, n_train, seed)
+    return Pipeline(stages=learner_stages(name, n_train, seed, defaults, rounds)).fit(train)
 
 
 def predictions(model: PipelineModel, data: DataFrame, name: str) -> DataFrame:
@@ -161,31 +185,39 @@ def predictions(model: PipelineModel, data: DataFrame, name: str) -> DataFrame:
 
 
 def train_evaluate(spark: SparkSession, corpus: DataFrame, key: str, learners=LEARNERS,
-                   test_size: float = 0.2, seed: int = 42, defaults: bool = False):
+                   test_size: float = 0.2, seed: int = 42, defaults: bool = False, rounds: int = 200):
     """Fit every learner on the training side; metrics on the test side.
 
-    Returns (metrics DataFrame, {name: PipelineModel}). Metrics carry the
-    learner's training order so ties go to the earlier one.
+    Returns (metrics DataFrame, {name: PipelineModel}, featurized data). The
+    metrics are computed here, one row per learner; they carry the learner's
+    training order so ties go to the earlier one, and the sizes of both sides.
+    The data is read from a table in the shared folder, so no cache is left.
     """
     split = stratified_split(corpus.select(key, "query", "label"), key, "label", test_size, seed)
-    data = prepare(split, keep=[key, "is_test"]).persist()
-    train = data.where(~F.col("is_test"))
-    test = data.where(F.col("is_test"))
-    n_train = train.count()
-    models, preds = {}, []
-    for name in learners:
-        models[name] = fit(name, train, n_train, seed, defaults)
-        preds.append(predictions(models[name], test, name))
-    allp = preds[0]
-    for p in preds[1:]:
-        allp = allp.unionByName(p)
-    order = {n: i for i, n in enumerate(learners)}
-    order_col = F.element_at(F.create_map(*[x for n, i in order.items() for x in (F.lit(n), F.lit(i))]),
-                             F.col("model"))
-    metrics = binary_metrics(allp, group="model").withColumn("ordinal", order_col)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/features-{uuid.uuid4().hex}"
+    prepare(split, keep=[key, "is_test"]).write.parquet(path)
+    data = spark.read.parquet(path)
+    train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
+    n_train, n_test = train.count(), test.count()
+    models, rows = {}, []
+    train.persist()
+    try:
+        for i, name in enumerate(learners):
+            models[name] = fit(name, train, n_train, seed, defaults, rounds)
+            # one metrics row per fit: an aggregate, safe to bring back
+            m = binary_metrics(predictions(models[name], test, name), group="model").first()
+            rows.append((name, *(m[c] for c in METRICS), n_train, n_test, i))
+    finally:
+        train.unpersist()
+    metrics = spark.createDataFrame(rows, "model STRING, tp LONG, fp LONG, fn LONG, tn LONG, accuracy DOUBLE, "
+                                          "precision DOUBLE, recall DOUBLE, f1_score DOUBLE, n_train LONG, "
+                                          "n_test LONG, ordinal INT")
     return metrics, models, data
 
 
+METRICS = ["tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1_score"]
+
+
 def select_best(metrics: DataFrame) -> DataFrame:
     return best_model(metrics, group="model", order="ordinal")
 
@@ -212,41 +244,44 @@ def load(spark: SparkSession, out: str) -> tuple[PipelineModel, dict]:
 
 
 def experiments(spark: SparkSession, corpus: DataFrame, key: str, seeds=(0, 1, 2, 3, 4),
-                learners=LEARNERS) -> DataFrame:
-    """Accuracy per (seed, model) with library-default settings; a learner
-    that fails to fit is recorded with its error instead of a score."""
+                learners=LEARNERS, rounds: int = 200) -> DataFrame:
+    """Metrics per (seed, model) with library-default settings on all rows; a
+    learner that rejects its input is recorded with its error instead of a
+    score. Failures of the cluster are not: they raise."""
     rows = []
     for seed in seeds:
-        split = stratified_split(corpus.select(key, "query", "label"), key, "label", 0.2, seed)
-        data = prepare(split, keep=[key, "is_test"]).persist()
-        train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
-        n_train = train.count()
         for name in learners:
             try:
-                m = fit(name, train, n_train, seed, defaults=True)
-                p = predictions(m, test, name)
-                # one metrics row per fit: an aggregate, safe to bring back
-                r = binary_metrics(p, group="model").first()
+                m, _, _ = train_evaluate(spark, corpus, key, [name], 0.2, seed, defaults=True, rounds=rounds)
+                r = m.first()
                 rows.append((seed, name, r["accuracy"], r["precision"], r["recall"], r["f1_score"], None))
-            except Exception as e:  # failed fit: keep the error, skip the score
-                rows.append((seed, name, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
-        data.unpersist()
+            except IllegalArgumentException as e:
+                rows.append((seed, name, None, None, None, None, f"{type(e).__name__}: {e}"))
     return spark.createDataFrame(rows, "seed INT, model STRING, accuracy DOUBLE, precision DOUBLE, "
                                        "recall DOUBLE, f1_score DOUBLE, error STRING")
 
 
 def train_job(spark: SparkSession, out: str, path: str | None = None, fmt: str = "csv",
-              keys: DataFrame | None = None, learners=LEARNERS, test_size: float = 0.2,
-              seed: int = 42, version: str | None = None) -> DataFrame:
+              texts: DataFrame | None = None, text: str = "text", feedback: DataFrame | None = None,
+              learners=LEARNERS, test_size: float = 0.2, seed: int = 42, rounds: int = 200,
+              version: str | None = None) -> DataFrame:
     """Load (or augment) → features → split → fit all → evaluate → keep the best.
 
-    Writes the winning pipeline, its metadata and every candidate's metrics
-    under ``out``; returns the metrics frame.
+    ``feedback`` (query, label) rows from analysts join the corpus, for
+    retraining. Writes the winning pipeline, its metadata and every candidate's
+    metrics under ``out``; returns the metrics frame.
     """
     from ..sources.corpus import load_corpus
-    corpus, _rejects = load_corpus(spark, path, fmt, keys=keys, key="id", seed=seed)
-    metrics, models, data = train_evaluate(spark, corpus, "id", learners, test_size, seed)
+    corpus, _rejects = load_corpus(spark, path, fmt, texts=texts, text=text, key="id", seed=seed)
+    corpus = with_feedback(corpus, feedback) if feedback is not None else corpus
+    metrics, models, _ = train_evaluate(spark, corpus, "id", learners, test_size, seed, rounds=rounds)
     best = select_best(metrics).first()["model"]
     save(spark, models[best], best, out, metrics, version)
-    data.unpersist()
     return spark.read.parquet(f"{out}/model_metrics")
+
+
+def with_feedback(corpus: DataFrame, feedback: DataFrame) -> DataFrame:
+    """The (id, query, label) corpus and the analysts' (query, label) rows."""
+    own = feedback.select(F.concat(F.lit("feedback-"), F.xxhash64("query", "label").cast("string")).alias("id"),
+                          "query", F.col("label").cast("int").alias("label"))
+    return corpus.select(F.col("id").cast("string").alias("id"), "query", "label").unionByName(own)

@@ -26,21 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give CPU-heavy per-row work at least one partition per core.
-
-    A small file is a single split, so its rows would all be processed by one
-    task however many cores there are. Only when the frame has fewer
-    partitions than the cluster's default parallelism is it redistributed
-    (round-robin); a large scan already has enough partitions and is left
-    untouched, so this never adds a shuffle at scale.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
-
-
 def templates(spark: SparkSession) -> DataFrame:
     """The 47 labelled templates (fixed size, safe to broadcast)."""
     return spark.createDataFrame(template_rows(), TEMPLATE_SCHEMA)
@@ -48,7 +33,7 @@ def templates(spark: SparkSession) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per event: raw payload, payload in a URL parameter, or plain URL."""
-    return requests_from_events(spark, spread(table(spark, sf_dir, "events")))
+    return requests_from_events(spark, table(spark, sf_dir, "events"))
 
 
 def requests_from_events(spark: SparkSession, events: DataFrame) -> DataFrame:
@@ -110,7 +95,11 @@ def logs_from_requests(r: DataFrame) -> DataFrame:
 
 def feedback_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyst feedback on every 17th log; one in five points at no log."""
-    lg = query_logs(spark, sf_dir).where(F.col("id") % 17 == 0)
+    return feedback_from_logs(query_logs(spark, sf_dir))
+
+
+def feedback_from_logs(logs: DataFrame) -> DataFrame:
+    lg = logs.where(F.col("id") % 17 == 0)
     kind = F.col("id") % 3
     return lg.select(
         "id",

@@ -1,14 +1,14 @@
 """Structured Streaming jobs.
 
-* ``screen_stream`` (requests → verdict log, plus the blocked-request feed):
-  the per-URL worst-parameter reduce is a grouped aggregate, which inside a
-  stream would be stateful and wait for a watermark. Each micro-batch is a
-  complete set of requests, so the batch code runs unchanged in
-  ``foreachBatch``; both sinks are written from one persisted batch.
-  Writes go to a directory named after the batch id and overwrite it, so a
-  retried batch replaces its own output instead of appending twice.
-* ``daily_counter_stream``: event-time daily counters with a watermark; the
-  state is one row per open day.
+* ``screen_stream`` (requests -> verdict log, plus the blocked-request feed):
+  screening is row by row, so each micro-batch runs the batch code in
+  ``foreachBatch``; both sinks are written from one persisted batch. Writes go
+  to a directory named after the batch id and overwrite it, so a retried batch
+  replaces its own output instead of appending twice. ``max_files`` bounds a
+  batch, so a backlog is worked off in pieces.
+* ``daily_counter_stream``: event-time daily counters with a watermark. Update
+  mode sends the days that changed; each replaces its own partition, and days
+  behind the watermark leave the state.
 
 Checkpoints and sinks must live on shared storage; by default they go under
 the session's ``spark.checkpoint.dir``.
@@ -27,6 +27,7 @@ from ..operators.score import RuleScorer, screen
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as T
 
+MAX_FILES = 64  # files of a micro-batch
 EVENT_SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
                 "value DOUBLE, props STRING")
 
@@ -45,9 +46,10 @@ def event_stream(spark: SparkSession, folder: str, file_glob: str = "events*.par
     return r.parquet(folder)
 
 
-def request_stream(spark: SparkSession, folder: str, file_glob: str = "events*.parquet") -> DataFrame:
+def request_stream(spark: SparkSession, folder: str, file_glob: str = "events*.parquet",
+                   max_files: int | None = MAX_FILES) -> DataFrame:
     """Requests derived from a stream of events (stream-static broadcast join)."""
-    return T.requests_from_events(spark, event_stream(spark, folder, file_glob))
+    return T.requests_from_events(spark, event_stream(spark, folder, file_glob, max_files))
 
 
 def _with_event_time(df: DataFrame, ts: str = "created_at") -> DataFrame:
@@ -82,7 +84,7 @@ def daily_counter_stream(logs: DataFrame, sink: str, checkpoint: str, delay: str
                          available_now: bool = True) -> StreamingQuery:
     """Per-day totals and injections, event time, watermark ``delay``.
 
-    The complete result (one row per day) replaces the sink on every batch.
+    The sink is partitioned by day; a batch overwrites the days it updates.
     """
     agg = (_with_event_time(logs).withWatermark("created_at", delay)
            .groupBy(F.window("created_at", "1 day").alias("w"))
@@ -92,9 +94,9 @@ def daily_counter_stream(logs: DataFrame, sink: str, checkpoint: str, delay: str
     def write_batch(batch: DataFrame, epoch: int) -> None:
         (batch.select(F.to_date(F.col("w.start")).alias("date"), "total_queries",
                       "sql_injections_detected")
-         .write.mode("overwrite").parquet(sink))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(sink))
 
-    w = agg.writeStream.outputMode("complete").foreachBatch(write_batch) \
+    w = agg.writeStream.outputMode("update").foreachBatch(write_batch) \
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from sievekit.operators.score import ModelScorer, screen
 from sievekit.plans import ml
-from sievekit.sources import corpus as CO
 from sievekit.sources import tables as T
 
 REFERENCE_CASES = [
@@ -21,9 +20,8 @@ REFERENCE_CASES = [
 
 @pytest.fixture(scope="module")
 def trained(spark):
-    keys = spark.range(3000).withColumnRenamed("id", "k")
-    corpus = CO.augment(keys, "k", seed=1)
-    metrics, models, _ = ml.train_evaluate(spark, corpus, "k",
+    corpus = T.requests(spark, "/root/testdata/sf0.001").select("request_id", "query", "label")
+    metrics, models, _ = ml.train_evaluate(spark, corpus, "request_id",
                                            learners=["LogisticRegression", "RandomForest"])
     return metrics, models
 
@@ -58,14 +56,53 @@ def test_save_and_load(spark, trained, tmp_path):
 
 
 def test_svm_rff_has_probabilities(spark):
-    keys = spark.range(600).withColumnRenamed("id", "k")
-    corpus = CO.augment(keys, "k", seed=3)
-    metrics, models, data = ml.train_evaluate(spark, corpus, "k", learners=["SVM_rff"])
+    corpus = T.requests(spark, "/root/testdata/sf0.001").select("request_id", "query", "label").where("request_id < 600")
+    metrics, models, data = ml.train_evaluate(spark, corpus, "request_id", learners=["SVM_rff"])
+    gamma = models["SVM_rff"].stages[1].getOrDefault("gamma")
+    assert 1 / 144 < gamma <= 1  # constant columns do not count
     p = models["SVM_rff"].transform(data).select(F.col("probability")).first()[0]
     assert abs(sum(p) - 1.0) < 1e-9
     assert metrics.first()["f1_score"] > 0.9
 
 
+def test_model_screens_every_row_once(spark, trained):
+    rows = [(1, "http://h/p?a=x y&b=' OR 1=1 --&b=z z"), (1, "http://h/p?a=x y"), (None, "' OR '1'='1"), (None, None),
+            (2, "http://h/p?id=7"), (2, "http://h/p")]
+    v = screen(spark.createDataFrame(rows, "request_id INT, query STRING"),
+               scorer=ModelScorer(trained[1]["LogisticRegression"])).collect()
+    assert sorted(str((r.request_id, r.query)) for r in v) == sorted(str(r) for r in rows)
+    by_text = {r.query: r for r in v}
+    assert by_text[rows[0][1]].params_scored == 3 and by_text[rows[1][1]].params_scored == 1
+    assert by_text[rows[0][1]].vulnerable_parameter in ("a", "b") and by_text[rows[4][1]].params_scored == 0
+
+
+def test_rejected_input_is_recorded_and_other_errors_raise(spark, monkeypatch):
+    from pyspark.errors import IllegalArgumentException
+    corpus = T.requests(spark, "/root/testdata/sf0.001").select("request_id", "query", "label")
+
+    def refuse(*a, **k):
+        raise IllegalArgumentException("no " * 400)
+
+    monkeypatch.setattr(ml, "fit", refuse)
+    r = ml.experiments(spark, corpus, "request_id", seeds=(0,), learners=["RandomForest"]).first()
+    assert r["accuracy"] is None and len(r["error"]) > 1000
+
+    def break_(*a, **k):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(ml, "fit", break_)
+    with pytest.raises(RuntimeError):
+        ml.experiments(spark, corpus, "request_id", seeds=(0,), learners=["RandomForest"])
+
+
+def test_retraining_with_feedback(spark, tmp_path):
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    feedback = spark.createDataFrame([("feedback text", 1), ("' OR 1=1", 1)], "query STRING, label INT")
+    m = ml.train_job(spark, str(tmp_path / "out"), texts=texts, feedback=feedback, learners=["LogisticRegression"])
+    assert m.count() == 1
+    assert ml.load(spark, str(tmp_path / "out"))[1]["model_name"] == "LogisticRegression"
+
+
 def test_stream_daily_equals_batch(spark):
     from sievekit.plans.catalog import QUERIES
     from sievekit.operators.logs import daily_statistics

@@ -6,7 +6,8 @@ from oracle_harness import compare, duck
 from sievekit.plans.catalog import ORACLE
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"stream_screen", "stream_block"}
+#: 200 boosting rounds each: run with tests/oracle_harness.py instead.
+SLOW = {"train_eval_gradient_boosting", "train_eval_xgboost_gbt"}
 
 
 @pytest.fixture(scope="module")

@@ -1,5 +1,7 @@
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sievekit.operators.split import stratified_split
@@ -20,13 +22,22 @@ def test_split_exact_counts_and_partition_independence(spark):
 
 
 def test_augment_is_deterministic_and_balanced(spark):
-    keys = spark.range(20000).withColumnRenamed("id", "k")
-    a = CO.augment(keys, "k", seed=7)
-    b = CO.augment(keys.repartition(5), "k", seed=7)
+    texts = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    key = F.concat_ws("-", "conv_id", "turn")
+    a = CO.augment(texts, key, "text", seed=7)
+    b = CO.augment(texts.repartition(5), key, "text", seed=7)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    share = a.agg(F.avg("label")).first()[0]
-    assert 0.47 < share < 0.53
-    assert a.select("tid").distinct().count() == 47
+    assert 0.4 < a.agg(F.avg("label")).first()[0] < 0.6
+    pair = a.join(texts.select(key.alias("key"), "text"), "key")
+    assert pair.where("label = 1 AND NOT contains(query, text)").isEmpty()
+    assert pair.where("label = 1").select("tid").distinct().count() > 25
+
+
+def test_equal_keys_stay_together(spark):
+    df = spark.range(500).select((F.col("id") % 100).alias("k"), (F.col("id") % 2).cast("int").alias("label"))
+    split = stratified_split(df, "k", "label", 0.2, 1)
+    assert split.count() == 500 and split.groupBy("k").agg(F.countDistinct("is_test").alias("n")).where("n > 1").isEmpty()
+    assert stratified_split(df.limit(0), "k").count() == 0
 
 
 def test_labelled_csv_resolution_and_rejects(spark, tmp_path):
@@ -41,13 +52,16 @@ def test_labelled_csv_resolution_and_rejects(spark, tmp_path):
     assert CO.resolve_columns(["body", "y"]) == (None, None)
 
 
-def test_corpus_fallback_and_train_job(spark, tmp_path):
-    from sievekit.plans import ml
-    corpus, rejects = CO.load_corpus(spark, None, n=400)
-    assert rejects is None and corpus.count() == 400
-    assert CO.load_corpus(spark, str(tmp_path / "missing.csv"), n=10)[0].count() == 10
-    m = ml.train_job(spark, str(tmp_path / "out"), keys=spark.range(800).withColumnRenamed("id", "id"),
-                     learners=["LogisticRegression"])
-    assert m.count() == 1
-    model, info = ml.load(spark, str(tmp_path / "out"))
-    assert info["model_name"] == "LogisticRegression"
+def test_a_given_file_is_never_replaced(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+    with pytest.raises(AnalysisException):
+        CO.load_corpus(spark, str(tmp_path / "missing.csv"))
+    path = tmp_path / "odd.csv"
+    path.write_text("body,y\na,1\n")
+    with pytest.raises(ValueError, match="no text and label column"):
+        CO.load_corpus(spark, str(path))
+    with pytest.raises(ValueError):
+        CO.load_corpus(spark)
+    texts = spark.createDataFrame([("a1",), ("b2",), (None,)], "text STRING")
+    corpus, rejects = CO.load_corpus(spark, texts=texts)
+    assert rejects is None and corpus.count() == 3

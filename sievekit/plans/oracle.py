@@ -58,6 +58,7 @@ def feedback_logs_cte() -> str:
   SELECT id, CASE WHEN id % 5 = 0 THEN id + 1000000000 ELSE id END AS query_log_id,
          id % 2 = 0 AS actual_label, is_sql_injection AS predicted_label,
          CASE id % 3 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'false_negative' ELSE 'correct' END AS feedback_type,
+         CASE WHEN id % 2 = 0 THEN 'seen: ' || endpoint END AS user_feedback,
          created_at + INTERVAL 1 HOUR AS created_at
   FROM query_logs WHERE id % 17 = 0)"""
 

@@ -108,6 +108,7 @@ def feedback_from_logs(logs: DataFrame) -> DataFrame:
         F.col("is_sql_injection").alias("predicted_label"),
         F.when(kind == 0, "false_positive").when(kind == 1, "false_negative")
          .otherwise("correct").alias("feedback_type"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("seen: "), "endpoint")).alias("user_feedback"),
         (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("created_at"),
     )
 

@@ -6,8 +6,7 @@ from urllib.parse import quote_plus
 
 # ---------------------------------------------------------------------------
 # The 10 safe and 37 attack templates of the original training
-# set, and the 4 safe + 5 attack templates of its experiment set, verbatim and
-# in their original order. Template id = position (safe first, then attacks).
+# set, verbatim and in their original order. Template id = position (safe first, then attacks).
 # ---------------------------------------------------------------------------
 SAFE_TEMPLATES = [
     "SELECT * FROM users WHERE id = 1",
@@ -62,21 +61,6 @@ ATTACK_TEMPLATES = [
     "1' AND IF(ASCII(SUBSTRING(@@version,1,1))>53, SLEEP(5), 0) --",
 ]
 
-EXPERIMENT_SAFE = [
-    "SELECT * FROM users WHERE id = 1",
-    "SELECT name FROM customers WHERE id = 2",
-    "SELECT COUNT(*) FROM transactions",
-    "SELECT * FROM products WHERE category = 'electronics'",
-]
-
-EXPERIMENT_ATTACK = [
-    "admin' OR '1'='1' --",
-    "' OR 1=1 --",
-    "' UNION SELECT NULL, NULL --",
-    "'; DROP TABLE users --",
-    "'; SELECT SLEEP(5) --",
-]
-
 
 def template_rows(safe: list[str] | None = None, attack: list[str] | None = None):
     """(tid, payload, payload_enc, label) rows; payload_enc is form-encoded."""

@@ -39,19 +39,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, id_bucket
+from .words import hashes_by_text
 
 FOLDS, HELD_OUT = 5, 1       # crc32 of the id modulo 5 is 1: never trained on
 CHUNK_BYTES = 8 << 20        # text of a chunk
 PART_BYTES = 24 << 20        # corpus text whose pairs a counting task takes
 SAMPLE_CHUNKS = 64           # chunks from which frequent words are recognised
 FREQUENT = 1 / 2000          # share of the sample's words
-WORDS_HELD = 1 << 18
 
 START, END = np.uint64(1), np.uint64(2)
 _W40 = np.uint64((1 << 40) - 1)
@@ -97,23 +96,11 @@ def _open_chunk(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(body).read_all()
 
 
-class _Words:
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-        return np.fromiter(map(self._one, words), np.uint64, len(words))
-
-    def _one(self, word: bytes) -> int:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= WORDS_HELD:
-                self.known.clear()
-            got = max(xxhash.xxh3_64_intdigest(word), 3)
-            if len(word) <= 64:
-                self.known[word] = got
-        return got
+def _words(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, and how many each has."""
+    raws = [(t or "").encode().lower() for t in rows["text"].to_pylist()]  # bytes: A-Z only
+    hashes, counts = hashes_by_text(raws)
+    return np.maximum(hashes, np.uint64(3)), counts
 
 
 @dataclass
@@ -125,21 +112,17 @@ class _Pairs:
     sizes: np.ndarray      # tokens of each document
 
 
-def _pairs(rows: pa.Table, words: _Words) -> _Pairs:
-    texts = [words(t) for t in rows["text"].to_pylist()]
-    sizes = np.array([len(t) + 1 for t in texts])
-    ends = np.cumsum(sizes)
-    flow = np.empty(int(ends[-1]) + len(texts), np.uint64)  # START, words, END of each document
-    at = 0
-    for t in texts:
-        flow[at] = START
-        flow[at + 1:at + 1 + len(t)] = t
-        flow[at + 1 + len(t)] = END
-        at += len(t) + 2
-    distinct, ids = np.unique(flow, return_inverse=True)
+def _pairs(rows: pa.Table) -> _Pairs:
+    hashes, counts = _words(rows)
+    sizes = counts + 1
     starts = np.cumsum(sizes + 1) - (sizes + 1)
+    flow = np.empty(int(sizes.sum()) + len(sizes), np.uint64)  # START, words, END of each document
     token = np.ones(len(flow), bool)
     token[starts] = False
+    inner = token.copy()
+    inner[starts + sizes] = False
+    flow[starts], flow[starts + sizes], flow[inner] = START, END, hashes
+    distinct, ids = np.unique(flow, return_inverse=True)
     here = np.flatnonzero(token)
     return _Pairs(distinct, ids[here - 1] * np.int64(len(distinct)) + ids[here], sizes)
 
@@ -202,11 +185,10 @@ def _send(n_parts: int, frequent: np.ndarray):
     """Chunks to (part, chunk, block)."""
 
     def run(batches):
-        words = _Words()
         for batch in batches:
             for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = _open_chunk(body.as_py())
-                p = _pairs(rows, words)
+                p = _pairs(rows)
                 trains = ~rows["held_out"].to_numpy()
                 keys, counts = _distinct_pairs(p, trains)
                 first, second = p.words[keys // len(p.words)], p.words[keys % len(p.words)] & _W40
@@ -348,7 +330,7 @@ def _score(n_parts: int, frequent: np.ndarray, shared):
     def score(body, answers):
         totals, hot = shared.value
         rows = _open_chunk(body)
-        p = _pairs(rows, score.words)
+        p = _pairs(rows)
         n = len(p.words)
         keys, _ = _distinct_pairs(p, None)
         first, second = p.words[keys // n], p.words[keys % n] & _W40
@@ -379,7 +361,6 @@ def _score(n_parts: int, frequent: np.ndarray, shared):
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches):
-        score.words = _Words()
         answers = {}
         for batch in batches:
             for part, body in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -397,11 +378,9 @@ def _frequent(chunks: DataFrame, n_chunks: int) -> np.ndarray:
     start. Only the dealing depends on them, no result does."""
 
     def run(batches):
-        words = _Words()
         for batch in batches:
             for body in batch.column(0):
-                flow = [words(t) for t in _open_chunk(body.as_py())["text"].to_pylist()]
-                found, n = np.unique(np.concatenate(flow), return_counts=True)
+                found, n = np.unique(_words(_open_chunk(body.as_py()))[0], return_counts=True)
                 some = n >= max(2, FREQUENT / 2 * n.sum())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found[some].view(np.int64)), pa.array(n[some], pa.int64())], names=["word", "n"])

@@ -20,6 +20,8 @@ HOT_SHARE = 1000
 HOT_ROWS = 1000
 #: Rows up to which a per-key parameter table may be broadcast.
 BROADCAST_ROWS = 100_000
+#: The same for a table of one long column: at most about 64 MB of hash table.
+BROADCAST_IDS = 2_000_000
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
@@ -56,10 +58,18 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     return known.select(*left.columns, *cols).unionByName(rest.select(*left.columns, *cols))
 
 
-def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
+def bounded_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint when the counted ``rows`` are few; else a shuffle join
     (which adaptive execution splits for skewed keys)."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= most else df
+
+
+def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the one-column cut table ``ids``.
+
+    Wide rows stay where they are as long as the ids fit a bounded broadcast.
+    """
+    return df.join(bounded_broadcast(ids, ids.count(), BROADCAST_IDS), key, "left_semi")
 
 
 def word_count(text: Column) -> Column:

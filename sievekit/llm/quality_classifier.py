@@ -20,17 +20,16 @@ alike; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_bucket
 from .labelled import holdout, labelled_sample, sigmoid
+from .words import SPACE, groups, word_bounds, word_hashes
 
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 13, 1 << 9
 DIMS = 32
@@ -38,39 +37,36 @@ NEAR = (1, 2)              # distances at which words are context
 TRAIN_ROWS = 12_000
 FOLDS, HELD_OUT = 3, 1     # crc32 of the id modulo 3 is 1: never trained on
 HIDDEN = 48
-WORDS_HELD = 1 << 19
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
-_RUNS = re.compile(rb"(.)\1+", re.S)
-_SHAPES = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b > 127 else
-                ord("0") if 48 <= b <= 57 else b for b in range(256))
+_CLASS = np.array([ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b > 127 else
+                   ord("0") if 48 <= b <= 57 else b for b in range(256)], np.uint8)
 
 
-def shape(word: bytes) -> bytes:
-    """'Thre***' -> 'Aa*', 'EDTH!!' -> 'A!'."""
-    return _RUNS.sub(rb"\1", word.translate(_SHAPES))
+def shapes(b: np.ndarray) -> np.ndarray:
+    """Bytes as letter, digit or mark, runs of one folded: 'Thre*** EDTH!!'
+    gives 'Aa* A!'. Words stay words."""
+    kind = _CLASS[b]
+    kind[SPACE[b]] = 32
+    return kind[np.concatenate([[True], kind[1:] != kind[:-1]])] if len(kind) else kind
 
 
-class Buckets:
-    """(word bucket, shape bucket) of each word; a bounded table of recent ones."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        both = np.fromiter(map(self._one, words), np.int64, len(words))
-        return both >> 16, both & 0xFFFF
-
-    def _one(self, word: bytes) -> int:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= WORDS_HELD:
-                self.known.clear()
-            got = (xxhash.xxh3_64_intdigest(word) % WORD_BUCKETS << 16
-                   | xxhash.xxh3_64_intdigest(shape(word)[:16]) % SHAPE_BUCKETS)
-            if len(word) <= 64:
-                self.known[word] = got
-        return got
+def streams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word bucket and shape bucket of all words of the texts in a row, and
+    the text each is from."""
+    words, forms, docs, at = [], [], [], 0
+    for group in groups([(t or "").encode() for t in texts]):
+        b = np.frombuffer(b"\n".join(group), np.uint8)
+        starts, ends = word_bounds(b)
+        words.append(word_hashes(b, starts, ends) % np.uint64(WORD_BUCKETS))
+        folded = shapes(b)
+        forms.append(word_hashes(folded, *word_bounds(folded)) % np.uint64(SHAPE_BUCKETS))
+        after = np.cumsum([len(raw) + 1 for raw in group])
+        docs.append(np.searchsorted(after, starts, "right") + at)
+        at += len(group)
+    if not words:
+        return (np.empty(0, np.int64),) * 3
+    return np.concatenate(words).astype(np.int64), np.concatenate(forms).astype(np.int64), np.concatenate(docs)
 
 
 def index_places(buckets: int, seed: int) -> np.ndarray:
@@ -106,22 +102,15 @@ class Contexts:
             names=["bucket", *(f"c{k}" for k in range(DIMS))])
 
 
-def _streams(texts, buckets: Buckets):
-    """Word and shape buckets of several texts in a row, and whose they are."""
-    split = [(t or "").encode().split() for t in texts]
-    words, shapes = buckets([w for s in split for w in s])
-    return words, shapes, np.repeat(np.arange(len(split)), [len(s) for s in split])
-
-
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit context vector of every bucket, from the whole corpus."""
 
     def run(batches):
-        contexts, buckets, some = Contexts(), Buckets(), False
+        contexts, some = Contexts(), False
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                words, shapes, doc = _streams(batch.slice(at, 256).column(0).to_pylist(), buckets)
-                contexts.add((words, shapes), doc)
+                *both, doc = streams(batch.slice(at, 256).column(0).to_pylist())
+                contexts.add(both, doc)
                 some = True
         if some:
             yield contexts.batch()
@@ -138,9 +127,9 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
 
 
-def pool(texts, vectors: np.ndarray, buckets: Buckets) -> np.ndarray:
+def pool(texts, vectors: np.ndarray) -> np.ndarray:
     """One row of pooled features per text."""
-    words, shapes, doc = _streams(texts, buckets)
+    words, forms, doc = streams(texts)
     counts = np.bincount(doc, minlength=len(texts)).astype(np.float32)
     out = np.zeros((len(texts), 6 * DIMS + 1), np.float32)
     out[:, -1] = np.log1p(counts)
@@ -149,7 +138,7 @@ def pool(texts, vectors: np.ndarray, buckets: Buckets) -> np.ndarray:
         return out
     starts = (np.cumsum(counts) - counts)[some].astype(np.int64)
     n = counts[some, None]
-    for k, v in enumerate((vectors[words], vectors[WORD_BUCKETS + shapes])):
+    for k, v in enumerate((vectors[words], vectors[WORD_BUCKETS + forms])):
         mean = np.add.reduceat(v, starts) / n
         spread = np.sqrt(np.maximum(np.add.reduceat(v * v, starts) / n - mean * mean, 0))
         step = np.abs(np.diff(v, axis=0, prepend=v[:1]))
@@ -225,11 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # fixed size
 
     def run(batches):
-        buckets = Buckets()
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 ids, texts, labels_ = (c.to_pylist() for c in batch.slice(at, 128).columns)
-                pooled = [r.tobytes() for r in pool(texts, shared.value, buckets)]
+                pooled = [r.tobytes() for r in pool(texts, shared.value)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(labels_, pa.int32()), pa.array(pooled, pa.binary())],
                     names=["doc_id", "label", "pooled"])
@@ -246,11 +234,10 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     def run(batches):
         vectors, net = model.value
-        buckets = Buckets()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                p = net.scores(pool(part.column(2).to_pylist(), vectors, buckets))
+                p = net.scores(pool(part.column(2).to_pylist(), vectors))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                     names=["doc_id", "held_out", "score", "predicted"])

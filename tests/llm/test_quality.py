@@ -99,13 +99,14 @@ def test_classifier_on_edge_rows(edge_docs, no_docs, no_labels, tables):
 
 
 def test_contexts_match_a_loop():
-    texts = ["a b c a b", "", "b c", "one"]
-    buckets, contexts = qc.Buckets(), qc.Contexts()
-    words, shapes, doc = qc._streams(texts, buckets)
-    contexts.add((words, shapes), doc)
+    texts = ["a b c a b", "", "b c", None, "one"]
+    contexts = qc.Contexts()
+    *both, doc = qc.streams(texts)
+    contexts.add(both, doc)
+    assert doc.tolist() == [0] * 5 + [2] * 2 + [4]
     want = np.zeros((qc.WORD_BUCKETS, qc.DIMS))
     for t in texts:
-        ids = buckets(t.encode().split())[0]
+        ids = qc.streams([t])[0]
         for i, w in enumerate(ids):
             for d in (-2, -1, 1, 2):
                 if 0 <= i + d < len(ids):
@@ -115,5 +116,8 @@ def test_contexts_match_a_loop():
     assert np.array_equal(contexts.sums[0].reshape(-1, qc.DIMS), want)
 
 
-def test_shape():
-    assert qc.shape(b"Thre***") == b"Aa*" and qc.shape(b"EDTH!!") == b"A!" and qc.shape("é1234".encode()) == b"a0"
+def test_shapes():
+    raw = "Thre*** EDTH!!\té1234\n\n||".encode()
+    assert qc.shapes(np.frombuffer(raw, np.uint8)).tobytes() == b"Aa* A! a0 |"
+    _, forms, _ = qc.streams(["Abc! x Zed! y", "Q!"])
+    assert forms[0] == forms[2] and forms[1] == forms[3] and forms[4] != forms[0]

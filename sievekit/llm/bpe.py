@@ -28,6 +28,7 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 from array import array
 from functools import lru_cache
 
@@ -42,7 +43,7 @@ from .common import slices
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 BLOCK = 1 << 16          # characters split at once
-TABLE_SIZE = 1 << 17     # pieces kept in each of two generations of recent pieces
+TABLE_SIZE = 1 << 18     # pieces kept in each of two generations of recent pieces
 TABLE_PIECE = 48         # longest piece kept there, in characters
 NO_RANK = 1 << 62
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -57,6 +58,21 @@ def byte_alphabet() -> dict[str, int]:
     return table
 
 
+LATIN_END = 0x250        # texts below it are split with spelled-out classes
+
+
+def latin_split() -> re.Pattern:
+    """The split pattern for texts of code points below LATIN_END, its classes
+    spelled out from the general ones; the plainer engine takes half the time."""
+
+    def spelled(general: str) -> str:
+        return "".join(re.escape(chr(c)) for c in range(LATIN_END) if regex.match(general, chr(c)))
+
+    letter, number, space = spelled(r"\p{L}"), spelled(r"\p{N}"), spelled(r"\s")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+"
+                      f"|[{space}]+(?![^{space}])|[{space}]+")
+
+
 class Vocabulary:
     """Ids, merges and special tokens of a tokenizer file."""
 
@@ -172,6 +188,7 @@ class Encoder:
         self.window = max(window, vocabulary.lookahead + vocabulary.longest + 1)
         self.recent = _Recent(vocabulary)
         self.split = regex.compile(SPLIT)
+        self.latin, self.beyond = latin_split(), re.compile(f"[^\0-{chr(LATIN_END - 1)}]")
         names = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
 
@@ -186,16 +203,17 @@ class Encoder:
         yield from self._plain(text, at, len(text), block)
 
     def _plain(self, text: str, at: int, end: int, block: int):
+        split = self.split if self.beyond.search(text, at, end) else self.latin
         if end - at <= block:
             if at < end:
-                yield b"".join(map(self.recent.__getitem__, self.split.findall(text, at, end)))
+                yield b"".join(map(self.recent.__getitem__, split.findall(text, at, end)))
             return
         while at < end:
             stop = min(end, at + block)
-            pieces = self.split.findall(text, at, stop)
+            pieces = split.findall(text, at, stop)
             if stop < end:
                 if len(pieces) == 1:  # a piece longer than a block: find its end, stream it
-                    done = self.split.match(text, at, end).end()
+                    done = split.match(text, at, end).end()
                     yield from self._stream(text, at, done)
                     at = done
                     continue

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .labelled import holdout, labelled_sample, sigmoid
 
 BITS = 18
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 4_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP_AT = 0.5
@@ -164,36 +164,62 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epochs
     y = got["label"].to_numpy().astype(np.float64)
     if len(y) < 10 or y.min() == y.max():
         return None
-    index = [np.frombuffer(x, "<u4") for x in got["index"].to_pylist()]
-    value = [np.frombuffer(x, "<f4") for x in got["value"].to_pylist()]
-    rows = np.repeat(np.arange(len(y)), [len(x) for x in index])
-    index, value = np.concatenate(index), np.concatenate(value)
-    aside = holdout(got["doc_id"].to_numpy())
+    ids = got["doc_id"].to_numpy()
+    index = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in got["index"]])
+    value = np.concatenate([np.frombuffer(x.as_buffer(), "<f4") for x in got["value"]])
+    ends = np.cumsum([len(x.as_buffer()) // 4 for x in got["index"]])
+    del got
+    aside = holdout(ids)
     if aside.all() or not aside.any() or y[~aside].min() == y[~aside].max():
         aside = np.zeros(len(y), bool)
     # Scale to unit spread: mean features are small numbers.
+    blocks = _blocks(ends)
     dims = 3 << BITS
-    scale = np.sqrt(np.bincount(index, value.astype(np.float64) ** 2, dims) / len(y)) + 1e-3
-    value = (value / scale[index]).astype(np.float32)
+    scale = np.zeros(dims)
+    for _, _, lo, hi, _ in blocks:
+        scale += np.bincount(index[lo:hi], np.square(value[lo:hi], dtype=np.float64), dims)
+    scale = np.sqrt(scale / len(y)) + 1e-3
+    norm = 0.0
+    for _, _, lo, hi, _ in blocks:
+        value[lo:hi] /= scale[index[lo:hi]]
+        norm += float(np.square(value[lo:hi], dtype=np.float64).sum())
+    norm = np.sqrt(norm / len(y))
     weight = np.where(aside, 0.0, np.where(y > 0, 0.5 / y[~aside].mean(), 0.5 / (1 - y[~aside].mean())))
     w, bias = np.zeros(dims), 0.0
     m, v, mb, vb = np.zeros(dims), np.zeros(dims), 0.0, 0.0
-    norm = np.sqrt(np.bincount(rows, value * value, len(y)).mean())
+    z = np.zeros(len(y))
+
+    def margins(top, end, lo, hi, row):
+        z[top:end] = np.bincount(row, value[lo:hi] * w[index[lo:hi]], end - top) + bias
+
     for t in range(1, epochs + 1):
-        z = np.bincount(rows, value * w[index], len(y)) + bias
-        g = weight * (sigmoid(z) - y) / weight.sum()
-        grad = np.bincount(index, value * g[rows], dims) + decay * w
+        grad, total = decay * w, 0.0
+        for block in blocks:
+            top, end, lo, hi, row = block
+            margins(*block)
+            g = weight[top:end] * (sigmoid(z[top:end]) - y[top:end]) / weight.sum()
+            grad += np.bincount(index[lo:hi], value[lo:hi] * g[row], dims)
+            total += g.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.99 * vb + 0.01 * g.sum() ** 2
-        step = rate / norm
-        w -= step * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
+        mb, vb = 0.9 * mb + 0.1 * total, 0.99 * vb + 0.01 * total ** 2
+        w -= rate / norm * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
         bias -= rate * 0.1 * (mb / (1 - 0.9 ** t)) / (np.sqrt(vb / (1 - 0.99 ** t)) + 1e-8)
-    z = np.bincount(rows, value * w[index], len(y)) + bias
+    for block in blocks:
+        margins(*block)
     use = aside if aside.any() else np.ones(len(y), bool)
     slope, offset = calibrate(z[use], y[use])
     return Model((w / scale).astype(np.float32).reshape(3, -1), float(bias), slope, offset)
 
 
+def _blocks(ends: np.ndarray, rows: int = 256):
+    """(first row, end row, first entry, end entry, row of each entry) in steps."""
+    starts = np.append(0, ends)
+    return [(top, min(top + rows, len(ends)), int(starts[top]), int(starts[min(top + rows, len(ends))]),
+             np.repeat(np.arange(min(rows, len(ends) - top), dtype=np.int16),
+                       np.diff(starts[top:min(top + rows, len(ends)) + 1])))
+            for top in range(0, len(ends), rows)]
+
+
 def calibrate(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Logistic curve over margins by Newton steps, towards smoothed labels."""
     up, down = y.sum(), len(y) - y.sum()

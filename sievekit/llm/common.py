@@ -46,8 +46,8 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     ``right[weight]`` is the number of left rows of the key. Keys above
     ``total / HOT_SHARE`` rows are fewer than HOT_SHARE, so that part of
     ``right`` has a proven bound and is broadcast; what it does not match has
-    no hot key and takes the shuffle join. ``left`` should be a cut table,
-    since it is read twice.
+    no hot key and takes the shuffle join. ``left`` is read twice, so it should
+    be a cut table or cheap to read again.
     """
     is_hot = F.col(weight) > F.lit(max(HOT_ROWS, total // HOT_SHARE))
     cols = [c for c in right.columns if c != key]
@@ -72,6 +72,11 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(bounded_broadcast(ids, ids.count(), BROADCAST_IDS), key, "left_semi")
 
 
+def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The other rows of ``only_ids``, those of a NULL key included."""
+    return df.join(bounded_broadcast(ids, ids.count(), BROADCAST_IDS), key, "left_anti")
+
+
 def word_count(text: Column) -> Column:
     """Number of words, without building them: each becomes one mark."""
     marks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "w")

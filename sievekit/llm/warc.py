@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, run_dir, slices
+from .common import cut, join_hot, only_ids, run_dir, slices, without_ids
 
 VERSION = b"WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"   # fixed, so that a rerun writes equal bytes
@@ -153,14 +153,19 @@ def plan_revisits(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
     digests = rows.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("payload_key"))
     firsts = cut(digests.groupBy("payload_key").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")),
                  "warc-payloads")
-    # Only payloads that occur again need a lookup, and only their narrow rows move.
+    # Only payloads that occur again need a lookup; the other rows stay in place.
     again = firsts.where((F.col("n") > 1) & F.col("first_id").isNotNull())
     total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    keyed = cut(rows.withColumn("payload_key", F.sha2(F.col("html").cast("binary"), 256)), "warc-rows")
-    return join_hot(keyed, again, "payload_key", "n", total).select(
+    keyed = rows.withColumn("payload_key", F.sha2(F.col("html").cast("binary"), 256)).withColumn(
+        "key_hash", F.xxhash64("payload_key"))
+    ids = cut(again.select(F.xxhash64("payload_key").alias("key_hash")).distinct(), "warc-again")
+    repeated = join_hot(only_ids(keyed, ids, "key_hash"), again, "payload_key", "n", total).select(
         "page_id", "url", "html",
         F.when((F.octet_length("html") >= min_revisit_bytes)
                & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    single = without_ids(keyed, ids, "key_hash").select(
+        "page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    return single.unionByName(repeated)
 
 
 def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

@@ -43,10 +43,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut, join_hot
+from .common import cut, join_hot, only_ids
 from .components import components
-
-WORDS_HELD = 1 << 19  # word hashes a worker keeps at once
+from .words import hashes_by_text, mix
 
 
 @dataclass(frozen=True)
@@ -76,39 +75,26 @@ class Params:
 class Shingler:
     """Word shingles of a text as sorted distinct 64-bit hashes."""
 
-    MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
-
     def __init__(self, words: int):
         self.words = words
-        self.known: dict[bytes, int] = {}
-
-    def _hash(self, word: bytes) -> int:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= WORDS_HELD:
-                self.known.clear()
-            got = xxhash.xxh3_64_intdigest(word)
-            if len(word) <= 64:
-                self.known[word] = got
-        return got
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-        if not words:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(self._hash, words), np.uint64, len(words))
-        n = max(1, len(words) - self.words + 1)
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        raws = [(t or "").encode().lower() for t in texts]  # bytes: A-Z only
+        hashes, counts = hashes_by_text(raws)
+        ends = np.cumsum(counts)
+        return [self._shingles(hashes[hi - n:hi]) for hi, n in zip(ends.tolist(), counts.tolist())]
+
+    def _shingles(self, h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return h
+        n = max(1, len(h) - self.words + 1)
         out = h[:n].copy()
-        for k in range(1, min(self.words, len(words))):
-            out *= self.MIX[0]
-            out += h[k:k + n]
-            out ^= out >> np.uint64(29)
-        out ^= out >> np.uint64(30)
-        out *= self.MIX[1]
-        out ^= out >> np.uint64(27)
-        out *= self.MIX[2]
-        out ^= out >> np.uint64(31)
-        return np.unique(out)
+        for k in range(1, min(self.words, len(h))):
+            out = mix(out) + h[k:k + n]
+        return np.unique(mix(out))
 
 
 def minhash(sets: list[np.ndarray], p: Params) -> np.ndarray:
@@ -159,7 +145,7 @@ def _signed(docs: DataFrame, p: Params) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingles(t) for t in part.column(2).to_pylist()]
+                sets = shingles.many(part.column(2).to_pylist())
                 some = [i for i, s in enumerate(sets) if len(s)]
                 signatures = [None] * len(sets)
                 if some:
@@ -348,8 +334,7 @@ def _texts(signed: DataFrame, nodes: DataFrame) -> DataFrame:
                                                  names=["node", "text"])
 
     nodes = cut(nodes.distinct(), "near-need")
-    rows = signed.select(F.col("uid").alias("node"), F.col("_doc.text").alias("text")).join(
-        bounded_broadcast(nodes, nodes.count()), "node")
+    rows = only_ids(signed.select(F.col("uid").alias("node"), F.col("_doc.text").alias("text")), nodes, "node")
     return cut(rows.select("node", "text").mapInArrow(run, "node long, text binary"), "near-texts")
 
 

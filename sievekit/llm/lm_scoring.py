@@ -47,8 +47,8 @@ from .common import cut, id_bucket
 from .words import hashes_by_text
 
 FOLDS, HELD_OUT = 5, 1       # crc32 of the id modulo 5 is 1: never trained on
-CHUNK_BYTES = 8 << 20        # text of a chunk
-PART_BYTES = 24 << 20        # corpus text whose pairs a counting task takes
+CHUNK_BYTES = 4 << 20        # text of a chunk
+PART_BYTES = 12 << 20        # corpus text whose pairs a counting task takes
 SAMPLE_CHUNKS = 64           # chunks from which frequent words are recognised
 FREQUENT = 1 / 2000          # share of the sample's words
 

@@ -542,5 +542,5 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
         F.min_by("uid", F.struct(F.col("_doc.doc_id").isNull(), F.col("_doc.doc_id"), F.col("uid"))).alias("keep_uid"))
     stays = by_set.where(F.col("keep_node") == F.col("set_node")).join(first, "set_key").select(
         F.col("keep_uid").alias("uid"))
-    kept = signed.where("n > 0").join(cut(stays, "near-stay"), "uid", "left_semi")
+    kept = only_ids(signed.where("n > 0"), cut(stays, "near-stay"), "uid")
     return kept.unionByName(signed.where("n = 0").select(*kept.columns)).select("_doc.*")

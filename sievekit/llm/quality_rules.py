@@ -22,18 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import holdout, labelled_sample, sigmoid
+from .words import hashes_by_text
 
 BITS = 18
 TRAIN_ROWS = 4_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP_AT = 0.5
-WORDS_HELD = 1 << 19
 
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -42,24 +41,12 @@ SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
           "n_repeat_words long, base_failed boolean, kept boolean, probability double")
 
 
-class WordHashes:
-    """64-bit hash of each word, recent ones from a bounded table."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self._one, words), np.uint64, len(words))
-
-    def _one(self, word: bytes) -> int:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= WORDS_HELD:
-                self.known.clear()
-            got = xxhash.xxh3_64_intdigest(word)
-            if len(word) <= 64:
-                self.known[word] = got
-        return got
+def hashed(texts) -> list[tuple[bytes, np.ndarray]]:
+    """Bytes and word hashes of each text."""
+    raws = [(t or "").encode() for t in texts]
+    hashes, counts = hashes_by_text(raws)
+    ends = np.cumsum(counts)
+    return [(raw, hashes[hi - n:hi]) for raw, hi, n in zip(raws, ends.tolist(), counts.tolist())]
 
 
 def repeat_words(h: np.ndarray) -> int:
@@ -84,10 +71,10 @@ def dup_lines(raw: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def counters(raw: bytes, words: list[bytes], h: np.ndarray, chars: int) -> tuple[int, int, int, int, int]:
+def counters(raw: bytes, h: np.ndarray, chars: int) -> tuple[int, int, int, int, int]:
     spaces = len(raw) - len(raw.translate(None, _SPACE))
     symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
-    return len(words), chars - spaces, symbols, dup_lines(raw), repeat_words(h)
+    return len(h), chars - spaces, symbols, dup_lines(raw), repeat_words(h)
 
 
 def base_fails(n_words: int, n_repeat_words: int) -> bool:
@@ -134,14 +121,12 @@ def _sparse(docs: DataFrame) -> DataFrame:
     """(doc_id, label, index, value): hashed features of the training rows."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 ids, texts, labels = (c.to_pylist() for c in batch.slice(at, 128).columns)
                 index, value = [], []
-                for t in texts:
-                    raw = (t or "").encode()
-                    found = features(raw, hashes(raw.split()))
+                for raw, h in hashed(texts):
+                    found = features(raw, h)
                     i, v = [], []
                     for k, f in enumerate(found):
                         u, n = np.unique(f, return_counts=True)
@@ -235,13 +220,10 @@ def calibrate(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return slope, float(a[1] - a[0] * z.mean() / spread)
 
 
-def _verdicts(model: Model | None, keep_at: float, texts, hashes):
+def _verdicts(model: Model | None, keep_at: float, texts):
     rows = []
-    for t in texts:
-        raw = (t or "").encode()
-        words = raw.split()
-        h = hashes(words)
-        found = counters(raw, words, h, len(t or ""))
+    for t, (raw, h) in zip(texts, hashed(texts)):
+        found = counters(raw, h, len(t or ""))
         failed = base_fails(found[0], found[4])
         p = model.probability(features(raw, h)) if model else None
         rows.append((*found, failed, not failed and (p is None or p >= keep_at), p))
@@ -253,11 +235,10 @@ def judge(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, **option
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))  # 3 * 2^18 weights
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                cols = list(zip(*_verdicts(model.value, keep_at, texts, hashes)))
+                cols = list(zip(*_verdicts(model.value, keep_at, texts)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:5]),
                      pa.array(cols[5], pa.bool_()), pa.array(cols[6], pa.bool_()), pa.array(cols[7], pa.float64())],
@@ -274,12 +255,11 @@ def keep(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, **options
     kind = held.schema["_doc"].dataType.simpleString()
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(1).to_pylist()
-                mask = pa.array([r[6] for r in _verdicts(model.value, keep_at, texts, hashes)], pa.bool_())
+                mask = pa.array([r[6] for r in _verdicts(model.value, keep_at, texts)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask)], names=["_doc"])
 
     return held.select("_doc", F.col("_doc.text").alias("text")).mapInArrow(run, f"_doc {kind}").select("_doc.*")

@@ -208,6 +208,7 @@ class Encoder:
             if at < end:
                 yield b"".join(map(self.recent.__getitem__, split.findall(text, at, end)))
             return
+        block = max(block, 3)  # two pieces taken back leave one
         while at < end:
             stop = min(end, at + block)
             pieces = split.findall(text, at, stop)
@@ -217,7 +218,9 @@ class Encoder:
                     yield from self._stream(text, at, done)
                     at = done
                     continue
-                stop -= len(pieces.pop())  # what follows the block could change the last piece
+                stop -= (cut := len(pieces.pop()))  # what follows the block could change the last piece
+                if cut == 1 and pieces[-1] == "'":  # and join it to an apostrophe: 're, 've, 'll
+                    stop -= len(pieces.pop())
             yield b"".join(map(self.recent.__getitem__, pieces))
             at = stop
 

@@ -58,6 +58,17 @@ def test_long_pieces_stream(library, narrow):
             assert ids_of(narrow, text, block) == want, (alphabet, block)
 
 
+def test_contractions_at_the_end_of_a_block(library):
+    e = bpe.encoder(tokenizer_path())
+    for text in ("we're they've she'll ''re 'r 'v 'l 'x I'd it's ", "we'll日本're they've'll'l're", "'re've'll'r'v'l" * 3):
+        want = library.encode(text, add_special_tokens=False).ids
+        for block in range(1, len(text) + 1):
+            assert ids_of(e, text, block) == want, (text, block)
+    far = "x" * (bpe.BLOCK - 8) + " they're" + " going" * 9
+    for gap in range(9):
+        assert ids_of(e, " " * gap + far) == library.encode(" " * gap + far, add_special_tokens=False).ids
+
+
 def test_lookahead_of_a_small_merge_list():
     # ab, then bc, then cd: whether a|b stays depends on nothing further right,
     # a merge of x with b waits for ab's rivals in order of rank.

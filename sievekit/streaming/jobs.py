@@ -6,9 +6,11 @@
   to a directory named after the batch id and overwrite it, so a retried batch
   replaces its own output instead of appending twice. ``max_files`` bounds a
   batch, so a backlog is worked off in pieces.
-* ``daily_counter_stream``: event-time daily counters with a watermark. Update
-  mode sends the days that changed; each replaces its own partition, and days
-  behind the watermark leave the state.
+* ``daily_counter_stream``: event-time daily counters. Update mode sends the
+  days that changed; each replaces its own partition. With a watermark (a live
+  stream) days behind it leave the state and later rows of them are dropped;
+  without one (a backlog, whose files come in any order of event time) no row
+  is late, and the state is one row per day.
 
 Checkpoints and sinks must live on shared storage; by default they go under
 the session's ``spark.checkpoint.dir``.
@@ -80,14 +82,16 @@ def screen_stream(spark: SparkSession, requests: DataFrame, log_path: str, block
     return w.start()
 
 
-def daily_counter_stream(logs: DataFrame, sink: str, checkpoint: str, delay: str = "1 day",
+def daily_counter_stream(logs: DataFrame, sink: str, checkpoint: str, delay: str | None = "1 day",
                          available_now: bool = True) -> StreamingQuery:
-    """Per-day totals and injections, event time, watermark ``delay``.
+    """Per-day totals and injections, event time, watermark ``delay`` (None: no row is late).
 
     The sink is partitioned by day; a batch overwrites the days it updates.
     """
-    agg = (_with_event_time(logs).withWatermark("created_at", delay)
-           .groupBy(F.window("created_at", "1 day").alias("w"))
+    timed = _with_event_time(logs)
+    if delay is not None:
+        timed = timed.withWatermark("created_at", delay)
+    agg = (timed.groupBy(F.window("created_at", "1 day").alias("w"))
            .agg(F.count(F.lit(1)).alias("total_queries"),
                 F.count_if(F.col("is_sql_injection")).alias("sql_injections_detected")))
 
@@ -112,10 +116,14 @@ def run_screen_stream(spark: SparkSession, folder: str, scorer=None) -> tuple[st
     return log_path, blocked_path
 
 
-def run_daily_counter_stream(spark: SparkSession, folder: str) -> str:
-    """Run X3 over the verdict-log stream derived from events; returns the sink."""
+def run_daily_counter_stream(spark: SparkSession, folder: str, max_files: int | None = MAX_FILES) -> str:
+    """Run X3 over the verdict-log stream derived from the events present; returns the sink.
+
+    Files come in order of modification time and each may hold any days, so no
+    row may count as late: the backlog runs without a watermark.
+    """
     base = scratch(spark, "daily")
-    logs = T.logs_from_requests(request_stream(spark, folder))
-    q = daily_counter_stream(logs, f"{base}/daily", f"{base}/_checkpoint")
+    logs = T.logs_from_requests(request_stream(spark, folder, max_files=max_files))
+    q = daily_counter_stream(logs, f"{base}/daily", f"{base}/_checkpoint", delay=None)
     q.awaitTermination()
     return f"{base}/daily"

@@ -112,3 +112,26 @@ def test_stream_daily_equals_batch(spark):
     b = {r["date"]: (r["total_queries"], r["sql_injections_detected"])
          for r in daily_statistics(lg, lg.limit(0).withColumn("feedback_type", F.lit("x"))).collect()}
     assert s == b
+
+
+def test_stream_daily_backlog_of_overlapping_files(spark, tmp_path):
+    """One file a batch, the newest days first: no row is late."""
+    import os
+    from sievekit.operators.logs import daily_statistics
+    from sievekit.streaming.jobs import run_daily_counter_stream
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for n in range(4):  # every file spans all days but the last ones
+        part = events.where(F.col("event_id") % 4 == n)
+        days = [r[0] for r in part.select(F.to_date("ts")).distinct().orderBy(F.desc(F.to_date("ts"))).collect()]
+        part.where(F.to_date("ts") <= F.lit(days[n])).coalesce(1).write.parquet(str(tmp_path / f"w{n}"))
+        source = next((tmp_path / f"w{n}").glob("part-*.parquet"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        to = tmp_path / "in" / f"events-{n}.parquet"
+        to.write_bytes(source.read_bytes())
+        os.utime(to, (1_700_000_000 + n, 1_700_000_000 + n))
+    got = {r["date"]: (r["total_queries"], r["sql_injections_detected"]) for r in
+           spark.read.parquet(run_daily_counter_stream(spark, str(tmp_path / "in"), max_files=1)).collect()}
+    logs = T.logs_from_requests(T.requests_from_events(spark, spark.read.parquet(str(tmp_path / "in"))))
+    want = {r["date"]: (r["total_queries"], r["sql_injections_detected"])
+            for r in daily_statistics(logs, logs.limit(0).withColumn("feedback_type", F.lit("x"))).collect()}
+    assert len(want) > 3 and got == want

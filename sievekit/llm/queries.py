@@ -13,7 +13,7 @@ def tokenizer_path() -> str:
 
 
 def op1_line_dedup(spark, sf_dir):
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(table(spark, sf_dir, "documents"), line_dedup.FULL)
 
 
 def op2_bpe(spark, sf_dir):

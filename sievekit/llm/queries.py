@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import (bpe, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules,
+from . import (bpe, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules,
                url_filter, warc)
 
 
@@ -52,6 +52,10 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op13_packing(spark, sf_dir):
+    return packing.report(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filter": op10_url_filter,
+    "op13_packing": op13_packing,
 }
 
 ORACLE = {

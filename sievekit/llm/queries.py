@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..sources.tables import table
 from . import (bpe, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules,
-               url_filter, warc)
+               ranked_search, url_filter, warc)
 
 
 def tokenizer_path() -> str:
@@ -52,6 +52,10 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op12_ranked_search(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark, sf_dir):
     return packing.report(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filter": op10_url_filter,
+    "op12_ranked_search": op12_ranked_search,
     "op13_packing": op13_packing,
 }
 
@@ -74,4 +79,5 @@ ORACLE = {
     "op5_mix_sources": mixing.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_url_filter": url_filter.oracle_sql(),
+    "op12_ranked_search": ranked_search.ORACLE_SQL,
 }

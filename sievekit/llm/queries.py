@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import (bpe, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules,
-               ranked_search, url_filter, warc)
+from . import (bpe, conversation_repair, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing,
+               quality_classifier, quality_rules, ranked_search, url_filter, warc)
 
 
 def tokenizer_path() -> str:
@@ -52,6 +52,10 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return conversation_repair.report(conversation_repair.damage(table(spark, sf_dir, "conversations")), "copies")
+
+
 def op12_ranked_search(spark, sf_dir):
     return ranked_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filter": op10_url_filter,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_ranked_search": op12_ranked_search,
     "op13_packing": op13_packing,
 }

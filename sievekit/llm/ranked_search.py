@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 ITEMS = 512              # items searched together, about
-CELLS = 1 << 23          # documents x terms of one tree, at most
+CELLS = 1 << 21          # documents x terms of one tree, at most
 TREE = 4096              # documents of one tree, at most
 DOC_LEAF, ITEM_LEAF = 64, 16
 SEED_DOCS = 16_384       # documents of the first search, about

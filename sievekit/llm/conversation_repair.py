@@ -579,3 +579,88 @@ def damage(conversations: DataFrame) -> DataFrame:
         F.when(draw == 1, "").when(draw == 2, F.regexp_replace(spaced["text"], "[.!?]", ""))
         .otherwise(spaced["text"]).alias("text"),
         F.when(draw == 0, 0).when(draw == 3, 2).otherwise(1).alias("copies"))
+
+
+# --- DuckDB twin -----------------------------------------------------------
+
+def _least(*ways):
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _add(state, cost, edit, turn="''"):
+    """The state's best edits with one more; NULL stays NULL."""
+    return (f"CASE WHEN {state} IS NULL THEN NULL ELSE struct_pack("
+            f"k := lpad((substr({state}.k, 1, 10)::BIGINT + {cost})::VARCHAR, 10, '0') || substr({state}.k, 11) || '{edit}', "
+            f"r := {state}.r || {turn}) END")
+
+
+def oracle_sql() -> str:
+    """The report in DuckDB SQL: the best edits of each state, as cost and
+    initials in one string (so that the least string is the cheapest, then the
+    least in ASCII), row after row of a recursive query; crc32 by its table."""
+    user, assistant = r"chr(10) || 'user:'", r"chr(10) || 'assistant:'"
+    kept = "chr(10) || role || ':' || text"
+
+    def keep(state, first):
+        return f"CASE WHEN stays AND left(role, 1) = '{first}' THEN {_add(state, 'more', 'K', kept)} END"
+
+    def rerole(state, turn):
+        return f"CASE WHEN stays THEN {_add(state, 'more + 3', 'R', f'{turn} || text')} END"
+
+    def insert(c0, c1, c2, c3):
+        """Columns of the four states after insertions, as nested selects."""
+        to_u = _least(c2, *[_add(c, 3, "I", user) for c in (c0, c1, c3)])
+        return to_u, _least(c3, _add("s2", 3, "I", assistant))
+
+    nothing = "struct_pack(k := '0000000000', r := '')"
+    u0, a0 = insert("s0", "s1", "NULL", "NULL")
+    u1, a1 = insert("s0", "s1", "c2", "c3")
+    return rf"""
+WITH RECURSIVE bits AS (
+  SELECT range AS i, range AS v, 0 AS step FROM range(256)
+  UNION ALL SELECT i, xor(v >> 1, 3988292384 * (v & 1)), step + 1 FROM bits WHERE step < 8),
+keys AS (SELECT DISTINCT conv_id, turn, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s
+         FROM conversations),
+crc AS (
+  SELECT conv_id, turn, s, 0 AS place, 4294967295::BIGINT AS c FROM keys
+  UNION ALL SELECT conv_id, turn, s, place + 1, xor(c >> 8, v) FROM crc
+            JOIN bits ON step = 8 AND i = xor(c, ascii(substr(s, place + 1, 1))::BIGINT) & 255 WHERE place < length(s)),
+drawn AS (SELECT conv_id, turn, xor(c, 4294967295) % 20 AS d FROM crc WHERE place = length(s)),
+spaced AS (SELECT c.conv_id, c.turn, d, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text
+           FROM conversations c JOIN drawn x ON c.conv_id IS NOT DISTINCT FROM x.conv_id
+                                             AND c.turn IS NOT DISTINCT FROM x.turn),
+damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+                   CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM spaced, range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                          WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                          WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+                  left(lag(role) OVER w, 1) || left(role, 1) AS pair
+           FROM ordered WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+marked AS (SELECT *, fault IN ('', 'truncated') AS stays, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS more FROM faults),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+best AS (
+  SELECT conv_id, 0::BIGINT AS place, s0, s1, s2, {a0} AS s3
+  FROM (SELECT conv_id, s0, s1, {u0} AS s2
+        FROM (SELECT conv_id, {nothing} AS s0, CASE WHEN false THEN {nothing} END AS s1 FROM convs))
+  UNION ALL
+  SELECT conv_id, place, s0, s1, s2, {a1} AS s3
+  FROM (SELECT conv_id, place, s0, s1, c3, {u1} AS s2
+        FROM (SELECT b.conv_id, place + 1 AS place,
+                     {_add('s0', 4, 'D')} AS s0,
+                     {_least(_add('s1', 4, 'D'), keep('s0', 's'))} AS s1,
+                     {_least(_add('s2', 4, 'D'), *[keep(s, 'u') for s in ('s0', 's1', 's3')],
+                           *[rerole(s, user) for s in ('s0', 's1', 's3')])} AS c2,
+                     {_least(_add('s3', 4, 'D'), keep('s2', 'a'), rerole('s2', assistant))} AS c3
+              FROM best b JOIN marked m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.pos = place + 1))),
+ends AS (SELECT conv_id, arg_max({_least('s0', 's3')}, place) AS e FROM best GROUP BY conv_id),
+counts AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+                  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                  count(*) FILTER (fault = 'truncated') AS truncated,
+                  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id)
+SELECT ends.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, substr(e.k, 1, 10)::BIGINT AS cost,
+       substr(e.k, 11) AS audit, sha256(substr(e.r, 2)) AS repaired_sha256
+FROM ends LEFT JOIN counts ON ends.conv_id IS NOT DISTINCT FROM counts.conv_id
+"""

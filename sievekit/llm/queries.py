@@ -84,5 +84,6 @@ ORACLE = {
     "op5_mix_sources": mixing.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_url_filter": url_filter.oracle_sql(),
+    "op11_conversation_repair": conversation_repair.oracle_sql(),
     "op12_ranked_search": ranked_search.ORACLE_SQL,
 }

@@ -40,7 +40,6 @@ from pyspark.sql import functions as F
 from .common import cut
 
 ITEMS = 512              # items searched together, about
-CELLS = 1 << 21          # documents x terms of one tree, at most
 TREE = 4096              # documents of one tree, at most
 DOC_LEAF, ITEM_LEAF = 64, 16
 SEED_DOCS = 16_384       # documents of the first search, about
@@ -74,19 +73,41 @@ def term_weight(docs: int, df: int) -> int:
     return math.floor(1000 * math.log((2 * docs + 2) / (2 * df + 1)))
 
 
-def _spread(own: np.ndarray) -> np.ndarray:
-    """Place of each row along about the direction in which the rows spread most."""
-    mean = own.mean(axis=0)
-    first = np.einsum("ij,ij->i", own, own) - 2 * own @ mean
-    along = own[first.argmax()] - mean
+class Rows:
+    """Sparse non-negative vectors: terms and values of all rows, row after row."""
+
+    def __init__(self, held: np.ndarray, terms: np.ndarray, values: np.ndarray, width: int):
+        """``held``: number of terms of each row."""
+        self.starts, self.terms, self.values, self.width = np.append(0, np.cumsum(held)), terms, values, width
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    @classmethod
+    def of(cls, matrix: np.ndarray) -> "Rows":
+        rows, terms = np.nonzero(matrix)
+        return cls(np.bincount(rows, minlength=len(matrix)), terms, matrix[rows, terms], matrix.shape[1])
+
+    def take(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place among the members, term, value) of all their terms."""
+        held = self.starts[members + 1] - self.starts[members]
+        at = np.repeat(self.starts[members] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+        return np.repeat(np.arange(len(members)), held), self.terms[at], self.values[at]
+
+
+def _spread(n: int, width: int, row: np.ndarray, term: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Place of each of ``n`` rows along about the direction in which they spread most."""
+    mean = np.bincount(term, value, width) / n
+    far = np.bincount(row, value * (value - 2 * mean[term]), n).argmax()
+    along = np.bincount(term, value * (row == far), width) - mean
     for _ in range(4):
-        place = own @ along - mean @ along
-        along = place @ own - place.sum() * mean
+        place = np.bincount(row, value * along[term], n) - mean @ along
+        along = np.bincount(term, value * place[row], width) - place.sum() * mean
         along /= np.abs(along).max(initial=0) or 1
-    return own @ along
+    return np.bincount(row, value * along[term], n)
 
 
-def _halves(rows: np.ndarray, leaf: int):
+def _halves(rows: Rows, leaf: int, scale: np.ndarray):
     """Nested parts of the rows' numbers: a leaf is an array, an inner node a
     pair. A node is cut at the widest gap of its spread, a quarter of its rows
     or more on either side."""
@@ -94,7 +115,8 @@ def _halves(rows: np.ndarray, leaf: int):
     def halve(members):
         if len(members) <= leaf:
             return members
-        place = _spread(rows[members])
+        row, term, value = rows.take(members)
+        place = _spread(len(members), rows.width, row, term, value * scale[term])
         order = np.argsort(place, kind="stable")
         low = len(order) // 4
         gaps = np.diff(place[order])[low:len(order) - 1 - low]
@@ -105,37 +127,50 @@ def _halves(rows: np.ndarray, leaf: int):
 
 
 class Node:
-    """Coordinate maxima of the rows below, and either two children or the rows."""
+    """Coordinate maxima of the rows below, and either two children or the rows
+    with their (place, term, value)."""
 
-    __slots__ = ("top", "left", "right", "rows", "values", "height")
+    __slots__ = ("top", "left", "right", "rows", "held", "height")
 
-    def __init__(self, part, matrix: np.ndarray):
-        self.left = self.right = self.rows = self.values = None
+    def __init__(self, part, rows: Rows):
+        self.left = self.right = self.rows = self.held = None
         self.height = 0
         if isinstance(part, tuple):
-            self.left, self.right = Node(part[0], matrix), Node(part[1], matrix)
+            self.left, self.right = Node(part[0], rows), Node(part[1], rows)
             self.height = 1 + max(self.left.height, self.right.height)
             self.top = np.maximum(self.left.top, self.right.top)
         else:
-            self.rows, self.values = part, matrix[part]
-            self.top = self.values.max(axis=0)
+            self.rows, self.held = part, rows.take(part)
+            self.top = np.zeros(rows.width)
+            np.maximum.at(self.top, self.held[1], self.held[2])
 
 
 class ItemNode:
     """The same over items, on the terms that occur below only."""
 
-    __slots__ = ("terms", "top", "left", "right", "rows", "values", "height", "exact", "floor")
+    __slots__ = ("terms", "top", "left", "right", "rows", "values", "column", "height", "exact", "floor")
 
     def __init__(self, node: Node):
         self.terms, self.height = np.flatnonzero(node.top), node.height
-        self.top = node.top[self.terms].astype(np.float64)
+        self.top = node.top[self.terms]
         self.left, self.right = (ItemNode(x) if x is not None else None for x in (node.left, node.right))
-        self.rows, self.values, self.exact = node.rows, None, True
+        self.rows, self.values, self.column, self.exact, self.floor = node.rows, None, None, True, 0
         if node.rows is not None:
-            own = node.values[:, self.terms]
-            self.exact = int(own.sum(axis=1).max(initial=0)) * 1_000_000 < EXACT
-            self.values = np.ascontiguousarray(own.T.astype(np.float64 if self.exact else np.int64))
-        self.floor = 0
+            row, term, value = node.held
+            self.column = np.full(len(node.top), -1)
+            self.column[self.terms] = np.arange(len(self.terms))
+            own = np.zeros((len(self.terms), len(node.rows)), np.int64)
+            own[self.column[term], row] = value
+            self.exact = int(own.sum(axis=0).max(initial=0)) * 1_000_000 < EXACT
+            self.values = own.astype(np.float64) if self.exact else own
+
+    def scores(self, docs: Node) -> np.ndarray:
+        """Documents x items of two leaves."""
+        row, term, value = docs.held
+        at = self.column[term]
+        own = np.zeros((len(docs.rows), len(self.terms)), self.values.dtype)
+        own[row[at >= 0], at[at >= 0]] = value[at >= 0]
+        return (own @ self.values).astype(np.int64)
 
     def settle(self, floors: np.ndarray) -> None:
         """Weakest kth score of the items below."""
@@ -179,8 +214,7 @@ def search_trees(items: ItemNode, docs: Node, ids: np.ndarray, best: Best) -> in
         if most <= 0 or most < a.floor:
             return
         if a.rows is not None and b.rows is not None:
-            values = b.values[:, a.terms]
-            scores = (values @ a.values if a.exact else values.astype(np.int64) @ a.values).astype(np.int64)
+            scores = a.scores(b)
             scored += scores.size
             own = ids[b.rows]
             for j, item in enumerate(a.rows):
@@ -199,7 +233,8 @@ def search_trees(items: ItemNode, docs: Node, ids: np.ndarray, best: Best) -> in
 
 
 def item_tree(vectors: np.ndarray) -> ItemNode:
-    return ItemNode(Node(_halves(vectors.astype(np.float64), ITEM_LEAF), vectors))
+    rows = Rows.of(vectors)
+    return ItemNode(Node(_halves(rows, ITEM_LEAF, np.ones(rows.width)), rows))
 
 
 def _vectors(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
@@ -239,24 +274,18 @@ def _vectors(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
 def _matches(vectors: DataFrame, items: ItemNode, scale: np.ndarray, n_items: int, floors: np.ndarray, k: int,
              n_docs: int, total: int) -> DataFrame:
     """(item, doc_id, score): the best k of each item over each task's documents."""
-    width = len(scale)
-    size = max(DOC_LEAF, min(TREE, CELLS // width))
-
     def run(batches):
         best = Best(n_items, k, floors)
         items.settle(best.floors)
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
+            for at in range(0, batch.num_rows, TREE):
+                part = batch.slice(at, TREE)
                 ids = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                lists, counts = part.column(2), part.column(3)
-                held = np.diff(lists.offsets.to_numpy())
-                terms, tf = (x.flatten().to_numpy(zero_copy_only=False) for x in (lists, counts))
+                held = np.diff(part.column(2).offsets.to_numpy())
+                terms, tf = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in (2, 3))
                 marks = length_mark(part.column(1).to_numpy(zero_copy_only=False), n_docs, total)
-                matrix = np.zeros((len(ids), width))
-                rows = np.repeat(np.arange(len(ids)), held)
-                matrix[rows, terms] = document_value(tf, marks[rows])
-                search_trees(items, Node(_halves(matrix * scale, DOC_LEAF), matrix), ids, best)
+                rows = Rows(held, terms, document_value(tf, np.repeat(marks, held)), len(scale))
+                search_trees(items, Node(_halves(rows, DOC_LEAF, scale), rows), ids, best)
         of = np.repeat(np.arange(n_items), [len(x) for x in best.scores])
         ids = np.concatenate(best.ids)
         yield pa.RecordBatch.from_arrays(

@@ -83,14 +83,14 @@ def test_trees_equal_all_pairs_and_prune(big):
     """Exact below and beyond 2^53; whole batches are left out where groups differ."""
     docs, asked = _vectors(1, 3000, 160, 8), _vectors(2, 100, 160, 8) * big
     ids = np.random.default_rng(3).permutation(3000)
-    matrix = docs.astype(np.float64)
+    sparse = rs.Rows.of(docs)
     best = rs.Best(100, 5, np.zeros(100, np.int64))
     tree = rs.item_tree(asked)
     leaf = tree
     while leaf.rows is None:
         leaf = leaf.left
     assert leaf.exact is (big == 1)
-    scored = rs.search_trees(tree, rs.Node(rs._halves(matrix, 64), matrix), ids, best)
+    scored = rs.search_trees(tree, rs.Node(rs._halves(sparse, 64, np.ones(160)), sparse), ids, best)
     all_scores = docs @ asked.T
     for i in range(100):
         order = np.lexsort((ids, -all_scores[:, i]))[:5]
@@ -99,8 +99,9 @@ def test_trees_equal_all_pairs_and_prune(big):
 
 
 def test_bounds_hold():
-    docs, asked = _vectors(4, 300, 40, 2).astype(np.float64), _vectors(5, 40, 40, 2)
-    node, tree = rs.Node(rs._halves(docs, 16), docs), rs.item_tree(asked)
+    docs, asked = _vectors(4, 300, 40, 2), _vectors(5, 40, 40, 2)
+    sparse = rs.Rows.of(docs)
+    node, tree = rs.Node(rs._halves(sparse, 16, np.ones(40)), sparse), rs.item_tree(asked)
     scores = docs @ asked.T
 
     def below(x):

@@ -6,6 +6,7 @@ import corpus_pipeline as cp
 import test_line_dedup
 import test_near_dedup
 from llm_helpers import edge_rows, rows_of
+from sievekit.llm import line_dedup
 from sievekit.llm.common import cut
 
 SF = "/root/testdata/sf0.001"
@@ -45,7 +46,7 @@ def test_quality_stage_keeps_clean_documents(spark, steps):
 def test_line_stage(steps):
     docs, cleaned = steps["line_dedup"]
     import hashlib
-    want = {x[0]: x[3] for x in map(eval, test_line_dedup.brute(pairs(docs)))}
+    want = {x[0]: x[3] for x in map(eval, test_line_dedup.brute(pairs(docs), line_dedup.FULL))}
     assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in pairs(cleaned)} == want
     assert cleaned.where("n_chars <> length(text)").isEmpty()
 

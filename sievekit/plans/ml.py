@@ -22,8 +22,7 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
@@ -36,10 +35,11 @@ from pyspark.sql.types import ArrayType, DoubleType
 from ..functions.features import FEATURE_NAMES, assemble, featurize
 from ..operators.evaluation import best_model, binary_metrics
 from ..operators.split import stratified_split
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
+from . import trees
 
-#: XGBoost is approximated by MLlib boosted trees, the RBF SVM by random
-#: Fourier features and a linear SVM; their names say so.
+#: XGBoost_gbt is second-order boosting on histograms (``trees``), the RBF SVM
+#: is approximated by random Fourier features and a linear SVM.
 LEARNERS = ["RandomForest", "XGBoost_gbt", "GradientBoosting", "LogisticRegression", "SVM_rff"]
 
 # --- kernel SVM: random Fourier features + linear SVM + Platt scaling ----------------
@@ -110,19 +110,11 @@ def learner_stages(name: str, n_train: int, seed: int = 42, defaults: bool = Fal
     """Pipeline stages after the 'features' vector for one learner.
 
     ``defaults=True`` uses each library's default depth/size (the multi-seed
-    experiment setting) instead of the tuned training configuration; MLlib
-    forests stop at depth 30 where that setting has no limit. ``rounds`` is the
-    number of boosting rounds and of forest trees.
+    experiment setting) instead of the tuned training configuration.
+    ``rounds`` is the number of boosting rounds.
     """
     boosted = dict(featuresCol="features", labelCol="label", maxIter=rounds, seed=seed, cacheNodeIds=True,
                    checkpointInterval=10)
-    if name == "RandomForest":
-        kw = dict(numTrees=rounds, seed=seed, featureSubsetStrategy="sqrt")
-        kw.update(dict(maxDepth=30, minInstancesPerNode=1) if defaults else
-                  dict(maxDepth=20, minInstancesPerNode=2))
-        return [RandomForestClassifier(featuresCol="features", labelCol="label", **kw)]
-    if name == "XGBoost_gbt":
-        return [GBTClassifier(maxDepth=6 if defaults else 10, stepSize=0.3 if defaults else 0.1, **boosted)]
     if name == "GradientBoosting":
         return [GBTClassifier(maxDepth=3 if defaults else 10, stepSize=0.1, **boosted)]
     if name == "LogisticRegression":
@@ -136,6 +128,7 @@ def _scaler() -> StandardScaler:
     return StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
 
 
+UNLIMITED = 64  # levels of a forest's tree where the setting has no limit
 CALIBRATION_SHARE = 5  # every fifth training row calibrates the SVM's margin
 
 
@@ -174,6 +167,13 @@ def fit(name: str, train: DataFrame, n_train: int, seed: int = 42, defaults: boo
         rounds: int = 200) -> PipelineModel:
     if name == "SVM_rff":
         return fit_svm(train, n_train, seed)
+    if name == "XGBoost_gbt":
+        p = trees.Boosting(rounds, *((6, 0.3) if defaults else (10, 0.1)))
+        return PipelineModel([trees.fit_boosting(train, p)])
+    if name == "RandomForest":
+        p = (trees.Forest(rounds, depth=UNLIMITED, min_split=2, min_leaf=1, seed=seed) if defaults else
+             trees.Forest(rounds, seed=seed))
+        return PipelineModel([trees.fit_forest(train, p)])
     return Pipeline(stages=learner_stages(name, n_train, seed, defaults, rounds)).fit(train)
 
 

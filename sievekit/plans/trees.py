@@ -1,19 +1,21 @@
 """Tree learners on binned features: second-order boosting and a random forest.
 
-Both grow level by level on histograms. The features are cut into at most 256
-bins once (approximate quantiles, one pass) and the binned rows are written to
-the shared folder. A level is one job: every task adds up its rows by (node,
-feature, bin), the sums meet by feature, and what comes back is the best cut of
-each node. Boosting sums gradients and hessians of the logistic loss; leaves
-are Newton steps with an L2 term. The forest sums bootstrap weights, drawn by
-Poisson's law from a seeded hash of row and tree, and grows many trees in one
-pass.
-
-Sums are whole numbers (gradients in fixed point), so they do not depend on the
-order in which tasks finish; equal gains go to the lower feature, then to the
-lower cut. Rows never leave their task. The driver holds the trees and one row
-per node and reducing task; a level of more than ``JOB_NODES`` nodes takes several
-jobs. Margins of a boosted model are stored every ``REFRESH`` rounds, so a pass
+Both grow on histograms. The features are cut into at most 256 bins once
+(approximate quantiles, one pass) and the binned rows are written to the shared
+folder. Nodes of many rows grow level by level, one job a level: every task
+adds up its rows by (node, feature, bin), the sums meet by feature, and what
+comes back is the best cut of each node. As soon as a node has ``LOCAL_ROWS``
+rows or fewer, its rows are dealt to one task, which grows all that lies below
+it in memory by the same rule. Boosting sums gradients and hessians of the
+logistic loss; leaves are Newton steps with an L2 term. The forest sums
+bootstrap weights, drawn by Poisson's law from a seeded hash of row and tree,
+and grows many trees in one pass.
+
+Sums are whole numbers (gradients in fixed point), so they depend neither on
+the order in which tasks finish nor on where a node is grown; equal gains go to
+the lower feature, then to the lower cut. The driver holds the trees and one
+row per node and reducing task; a level of more than ``JOB_NODES`` nodes takes
+several jobs. Margins of a boosted model are stored every ``REFRESH`` rounds, so a pass
 evaluates few trees however many there are.
 """
 
@@ -38,11 +40,14 @@ from pyspark.sql.types import DoubleType
 from ..session import written
 
 BINS = 256               # bins of a feature, at most
+SKETCH = 2048            # values of a feature that a task sends
 SLOTS = 4096             # stride of a node's number in keys
 JOB_NODES = SLOTS        # nodes whose cuts one job finds
+LOCAL_ROWS = 50_000      # rows of a node that one task grows to its end
 REFRESH = 10             # rounds after which margins are stored
 TREES_AT_ONCE = 50       # trees of a forest grown in one pass
 ONE = 1 << 32            # fixed point of gradients
+DENSE = 1 << 22          # cells up to which sums are held as one array
 LEAST_GAIN = 1e-6
 BEST = ("slot int, gain double, feature int, cut int, n_left long, a_left long, b_left long, "
         "n_right long, a_right long, b_right long")
@@ -68,6 +73,23 @@ class Tree:
             column += [empty, empty]
         return self.left[node], self.right[node]
 
+    def graft(self, node: int, below: dict) -> None:
+        """Put a tree grown elsewhere in the place of a leaf."""
+        base = len(self.feature) - 1  # its root becomes ``node``, its other nodes follow
+
+        def place(i):
+            return node if i == 0 else base + i
+
+        for i in range(len(below["feature"])):
+            inner = below["feature"][i] >= 0
+            own = (below["feature"][i], below["cut"][i], place(below["left"][i]) if inner else 0,
+                   place(below["right"][i]) if inner else 0, below["value"][i], below["n"][i])
+            for column, x in zip((self.feature, self.cut, self.left, self.right, self.value, self.n), own):
+                if i == 0:
+                    column[node] = x
+                else:
+                    column.append(x)
+
     def arrays(self) -> tuple[np.ndarray, ...]:
         return (np.array(self.feature, np.int32), np.array(self.cut), np.array(self.left, np.int32),
                 np.array(self.right, np.int32), np.array(self.value))
@@ -113,17 +135,6 @@ def bootstrap(row: np.ndarray, tree: int, seed: int) -> np.ndarray:
 
 # --- one level ------------------------------------------------------------------------
 
-@dataclass
-class Grown:
-    """What a pass needs of a tree: its arrays, the slot of each open node (-1:
-    none), and the features that each slot may use (None: all)."""
-
-    number: int
-    tree: tuple
-    slots: np.ndarray
-    features: np.ndarray | None
-
-
 def _add_up(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of equal keys become one, in key order."""
     if not len(keys):
@@ -134,36 +145,69 @@ def _add_up(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(sums, first, axis=0)
 
 
-def _cells(bins: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, slot: np.ndarray, features):
-    """Keys (feature, slot, bin) and the sums (n, a, b) of the rows of a batch."""
-    if features is None:
-        f = np.arange(bins.shape[1])[None, :]
-        cell = bins
-    else:
-        f = features[slot]
-        cell = np.take_along_axis(bins, f, axis=1)
-    keys = ((f.astype(np.int64) * SLOTS + slot[:, None]) * BINS + cell).ravel()
-    values, at = np.unique(keys, return_inverse=True)
-    each = f.shape[1]
-    sums = [np.bincount(at, np.repeat(x, each), len(values)).astype(np.int64) for x in (n, a, b)]
-    return values, np.stack(sums, 1)
-
-
-def _sum_rows(n_features: int, stats):
+class Layout:
+    """Where the bins of each feature lie in one row of cells."""
+
+    def __init__(self, cuts: list[np.ndarray]):
+        held = np.array([len(c) + 1 for c in cuts], np.int64)
+        self.offset, self.width = np.cumsum(held) - held, int(held.sum())
+        self.feature = np.repeat(np.arange(len(cuts), dtype=np.int64), held)
+        self.bin = np.arange(self.width) - np.repeat(self.offset, held)
+
+    def cells(self, bins: np.ndarray, slot: np.ndarray, features: np.ndarray | None) -> np.ndarray:
+        """Cell (slot, feature, bin) of each row and feature its node may use."""
+        if features is None:
+            cell = bins + self.offset
+        else:
+            own = features[slot]
+            cell = np.take_along_axis(bins, own, axis=1) + self.offset[own]
+        return cell + slot[:, None].astype(np.int64) * self.width
+
+    def keys(self, cells: np.ndarray) -> np.ndarray:
+        """Cells as (feature, slot, bin) numbers."""
+        slot, at = cells // self.width, cells % self.width
+        return (self.feature[at] * SLOTS + slot) * BINS + self.bin[at]
+
+
+def _cell_sums(cells: np.ndarray, size: int, n, a, b) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that occur among ``size`` possible ones, and their sums."""
+    each, cells = cells.shape[1], cells.ravel()
+    values = None
+    if size > DENSE:
+        values, cells = np.unique(cells, return_inverse=True)
+        size = len(values)
+    sums = np.stack([np.bincount(cells, np.repeat(x, each), size).astype(np.int64) for x in (n, a, b)], 1)
+    if values is None:
+        values = np.flatnonzero(sums[:, 0])
+        sums = sums[values]
+    return values, sums
+
+
+def _sum_rows(layout: Layout, n_features: int, n_slots: int, stats):
     """Map side: one row for each feature, with the sums over the task's rows.
 
-    ``stats(bins, batch)`` yields (rows or slice, n, a, b, slot, features).
+    ``stats(bins, batch)`` yields (rows, n, a, b, slot, features). Few cells are
+    held as one array, many as the ones that occur.
     """
+    dense = n_slots * layout.width <= DENSE
 
     def run(batches):
+        held = np.zeros((n_slots * layout.width if dense else 0, 3), np.int64)
         keys, sums = np.empty(0, np.int64), np.empty((0, 3), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, n_features)
             for rows, n, a, b, slot, features in stats(bins, batch):
-                more = _cells(bins[rows], n, a, b, slot, features)
-                keys, sums = _add_up(np.concatenate([keys, more[0]]), np.concatenate([sums, more[1]]))
+                cells, more = _cell_sums(layout.cells(bins[rows], slot, features), n_slots * layout.width, n, a, b)
+                if dense:
+                    held[cells] += more
+                else:
+                    keys, sums = _add_up(np.concatenate([keys, cells]), np.concatenate([sums, more]))
+        if dense:
+            keys = np.flatnonzero(held[:, 0])
+            sums = held[keys]
+        keys, sums = _add_up(layout.keys(keys), sums)
         edges = np.searchsorted(keys, np.arange(n_features + 1, dtype=np.int64) * SLOTS * BINS)
         some = [f for f in range(n_features) if edges[f] < edges[f + 1]]
         yield pa.RecordBatch.from_arrays(
@@ -191,7 +235,14 @@ def best_cuts(keys: np.ndarray, sums: np.ndarray, gain, allowed):
     return group[at] % SLOTS, top, group[at] // SLOTS, keys[at] % BINS, left[at], right[at]
 
 
-def level(binned: DataFrame, n_features: int, columns: list[str], stats, gain, allowed) -> dict[int, tuple]:
+def _choose(slot, top, feature, *rest):
+    """Of the cuts of each slot the one of largest gain, then lowest feature."""
+    order = np.lexsort((feature, -top, slot))
+    order = order[np.append(True, slot[order][1:] != slot[order][:-1])]
+    return [x[order] for x in (slot, top, feature, *rest)]
+
+
+def level(binned: DataFrame, layout: Layout, n_slots: int, columns: list[str], stats, rule: "Rule") -> dict[int, tuple]:
     """slot → (gain, feature, cut, left sums, right sums); the sums of a node
     without an allowed cut are to be added."""
 
@@ -202,16 +253,16 @@ def level(binned: DataFrame, n_features: int, columns: list[str], stats, gain, a
             sums += [np.frombuffer(x, np.int64).reshape(-1, 3) for x in batch.column(2).to_pylist()]
         if not keys:
             return
-        slot, top, feature, cut, left, right = best_cuts(*_add_up(np.concatenate(keys), np.concatenate(sums)), gain, allowed)
-        order = np.lexsort((feature, -top, slot))
-        order = order[np.append(True, slot[order][1:] != slot[order][:-1])]
+        slot, top, feature, cut, left, right = _choose(
+            *best_cuts(*_add_up(np.concatenate(keys), np.concatenate(sums)), rule.gain, rule.allowed))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x[order], t) for x, t in zip(
-                (slot, top, feature, cut, *left.T, *right.T),
-                [pa.int32(), pa.float64(), pa.int32(), pa.int32()] + [pa.int64()] * 6)],
+            [pa.array(x, t) for x, t in zip((slot, top, feature, cut, *left.T, *right.T),
+                                            [pa.int32(), pa.float64(), pa.int32(), pa.int32()] + [pa.int64()] * 6)],
             names=[c.split()[0] for c in BEST.split(", ")])
 
-    sums = binned.select("bins", *columns).mapInArrow(_sum_rows(n_features, stats), "feature int, keys binary, sums binary")
+    n_features = len(layout.offset)
+    sums = binned.select("bins", *columns).mapInArrow(
+        _sum_rows(layout, n_features, n_slots, stats), "feature int, keys binary, sums binary")
     rows = sums.repartition("feature").mapInArrow(find, BEST).collect()  # a row per node and reducing task
     out: dict[int, tuple] = {}
     for r in sorted(rows, key=lambda r: (r.slot, -r.gain, r.feature)):
@@ -219,15 +270,204 @@ def level(binned: DataFrame, n_features: int, columns: list[str], stats, gain, a
     return out
 
 
+# --- growing --------------------------------------------------------------------------
+
+class Rule:
+    """How trees grow: ``gain`` and ``allowed`` over sums (n, a, b) of cells,
+    ``value`` of a leaf, ``may_split`` of a node, its ``features`` (None: all)."""
+
+    depth: int
+
+    def gain(self, left, right):
+        raise NotImplementedError
+
+    def allowed(self, sums):
+        raise NotImplementedError
+
+    def value(self, sums) -> float:
+        raise NotImplementedError
+
+    def may_split(self, sums) -> bool:
+        raise NotImplementedError
+
+    def features(self, tree: int, path: int, n_features: int):
+        return None
+
+
+def _settle(tree: Tree, node: int, path: int, best: tuple, rule: Rule) -> list[tuple[int, int, tuple]]:
+    """Enter the best cut of a node; its children (node, path, sums) that may be split."""
+    top, feature, cut, left, right = best
+    if path == 1:
+        total = tuple(x + y for x, y in zip(left, right))
+        tree.value[node], tree.n[node] = rule.value(total), total[0]
+        if not rule.may_split(total):
+            return []
+    if not top > LEAST_GAIN:
+        return []
+    out = []
+    for side, (child, sums) in enumerate(zip(tree.split(node, feature, cut), (left, right))):
+        tree.value[child], tree.n[child] = rule.value(sums), sums[0]
+        if rule.may_split(sums):
+            out.append((child, 2 * path + side, sums))
+    return out
+
+
+def _slot_features(rule: Rule, open_, n_features: int):
+    """Features by slot for (tree, path) nodes, or None for all."""
+    own = [rule.features(t, path, n_features) for t, path in open_]
+    return None if not own or own[0] is None else np.stack(own)
+
+
+def grow_local(bins, n, a, b, layout: Layout, rule: Rule, number: int, path: int, depth: int) -> Tree:
+    """The tree below one node, from its rows in memory."""
+    tree, open_ = Tree(), [(0, path)]
+    total = (int(n.sum()), int(a.sum()), int(b.sum()))
+    tree.value[0], tree.n[0] = rule.value(total), total[0]
+    if not rule.may_split(total):
+        return tree
+    for _ in range(depth):
+        slots = np.full(len(tree.feature), -1)
+        slots[[node for node, _ in open_]] = np.arange(len(open_))
+        slot = slots[descend(bins, tree.arrays())]
+        rows = np.flatnonzero(slot >= 0)
+        cells = layout.cells(bins[rows], slot[rows], _slot_features(rule, [(number, w) for _, w in open_], len(layout.offset)))
+        values, sums = _cell_sums(cells, len(open_) * layout.width, n[rows], a[rows], b[rows])
+        best = _choose(*best_cuts(*_add_up(layout.keys(values), sums), rule.gain, rule.allowed))
+        following = []
+        for s, top, feature, cut, left, right in zip(*best):
+            node, own = open_[s]
+            children = _settle(tree, node, own, (top, int(feature), int(cut), tuple(left.tolist()), tuple(right.tolist())), rule)
+            following += [(child, w) for child, w, _ in children]
+        open_ = following
+        if not open_:
+            break
+    return tree
+
+
+def _grow_rows(binned: DataFrame, layout: Layout, nodes, trees: dict, columns: list[str], weigh, rule: Rule) -> list:
+    """The trees below (tree, node, path, depth left) nodes, each grown in one task."""
+    n_features = len(layout.offset)
+    slots = {t: np.full(len(trees[t].feature), -1, np.int64) for t, *_ in nodes}
+    for i, (t, node, _, _) in enumerate(nodes):
+        slots[t][node] = i
+    known = [(t, trees[t].arrays(), own) for t, own in slots.items()]
+
+    def deal(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, n_features)
+            for t, arrays, own in known:
+                n, a, b = weigh(bins, batch, t)
+                slot = own[descend(bins, arrays)]
+                rows = np.flatnonzero((slot >= 0) & (n > 0))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slot[rows]), batch.column(0).take(pa.array(rows)),
+                     *[pa.array(x[rows].astype(np.int64)) for x in (n, a, b)]], names=["slot", "bins", "n", "a", "b"])
+
+    def grow(table: pa.Table) -> pa.Table:
+        i = table["slot"][0].as_py()
+        t, _, path, depth = nodes[i]
+        bins = np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(len(table), n_features)
+        below = grow_local(bins, *[table[c].to_numpy() for c in ("n", "a", "b")], layout, rule, t, path, depth)
+        return pa.table({"slot": pa.array([i], pa.int64()), "tree": [json.dumps(below.__dict__)]})
+
+    rows = binned.select("bins", *columns).mapInArrow(deal, "slot long, bins binary, n long, a long, b long")
+    return rows.groupBy("slot").applyInArrow(grow, "slot long, tree string").collect()  # the nodes of the model
+
+
+def grow_trees(binned: DataFrame, layout: Layout, numbers, rule: Rule, columns: list[str], weigh, n_rows: int) -> list[Tree]:
+    """One tree for each number. ``weigh(bins, batch, number)`` gives (n, a, b)
+    of the batch's rows; rows of n 0 are not in the tree."""
+    trees = {t: Tree() for t in numbers}
+    open_, local = [(t, 0, 1, n_rows) for t in numbers], []
+    for depth in range(rule.depth):
+        local += [(t, node, path, rule.depth - depth) for t, node, path, n in open_ if n <= LOCAL_ROWS]
+        open_ = [o for o in open_ if o[3] > LOCAL_ROWS]
+        following = []
+        for at in range(0, len(open_), JOB_NODES):
+            some = open_[at:at + JOB_NODES]
+            slots = {t: np.full(len(trees[t].feature), -1, np.int64) for t, *_ in some}
+            for slot, (t, node, _, _) in enumerate(some):
+                slots[t][node] = slot
+            features = _slot_features(rule, [(t, path) for t, _, path, _ in some], len(layout.offset))
+            known = [(t, trees[t].arrays(), own) for t, own in slots.items()]
+
+            def stats(bins, batch):
+                for t, arrays, own in known:
+                    n, a, b = weigh(bins, batch, t)
+                    slot = own[descend(bins, arrays)]
+                    rows = np.flatnonzero((slot >= 0) & (n > 0))
+                    if len(rows):
+                        yield rows, n[rows], a[rows], b[rows], slot[rows], features
+
+            for slot, best in level(binned, layout, len(some), columns, stats, rule).items():
+                t, node, path, _ = some[slot]
+                following += [(t, child, w, sums[0]) for child, w, sums in _settle(trees[t], node, path, best, rule)]
+        open_ = sorted(following)
+        if not open_:
+            break
+    for at in range(0, len(local), JOB_NODES):
+        some = local[at:at + JOB_NODES]
+        found = {r.slot: json.loads(r.tree) for r in _grow_rows(binned, layout, some, trees, columns, weigh, rule)}
+        for i, (t, node, _, _) in enumerate(some):  # in order, so that node numbers do not depend on the tasks
+            if i in found:
+                trees[t].graft(node, found[i])
+    return list(trees.values())
+
+
 # --- binning --------------------------------------------------------------------------
 
+def _condensed(values: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Equal values added up; if more than ``most`` remain, those at even ranks
+    (the largest included), each with the counts since the one before."""
+    values, at = np.unique(values, return_inverse=True)
+    counts = np.bincount(at, counts, len(values))
+    if len(values) <= most:
+        return values, counts
+    rank = np.cumsum(counts)
+    keep = np.unique(np.searchsorted(rank, np.arange(1, most + 1) * (rank[-1] / most), "left").clip(max=len(values) - 1))
+    return values[keep], np.diff(rank[keep], prepend=0)
+
+
 def cut_points(train: DataFrame, n_features: int, features: str = "features") -> list[np.ndarray]:
-    """Rising cut values of each feature: approximate quantiles, the largest left out."""
+    """Rising cut values of each feature, the largest value left out.
+
+    One pass: a task sends at most ``SKETCH`` values of a feature with their
+    counts, exact below that, and the sketches meet by feature.
+    """
+
+    def sketch(batches):
+        held = [(np.empty(0), np.empty(0))] * n_features
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, n_features)
+                held = [_condensed(np.append(v, x[:, i]), np.append(c, np.ones(len(x))), SKETCH)
+                        for i, (v, c) in enumerate(held)]
+        some = [i for i in range(n_features) if len(held[i][0])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int32()), *[pa.array([held[i][k].tolist() for i in some], pa.list_(pa.float64()))
+                                           for k in (0, 1)]], names=["feature", "v", "n"])
+
+    def cuts(batches):
+        held: dict[int, tuple] = {}
+        for batch in batches:
+            for i, v, n in zip(*[c.to_pylist() for c in batch.columns]):
+                old = held.get(i, ((), ()))
+                held[i] = _condensed(np.append(old[0], v), np.append(old[1], n), 4 * SKETCH)
+        out = []
+        for i, (v, n) in held.items():
+            rank = np.cumsum(n)
+            at = np.searchsorted(rank, np.arange(1, BINS) * (rank[-1] / BINS), "left")
+            out.append((i, np.unique(v[at][v[at] < v[-1]]).tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()),
+                                          pa.array([o[1] for o in out], pa.list_(pa.float64()))], names=["feature", "cuts"])
+
     x = train.select(vector_to_array(features).alias("x"))
-    probs = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
-    row = x.agg(*[F.percentile_approx(F.col("x")[i], probs, 10_000).alias(f"f{i}") for i in range(n_features)]).first()
-    top = x.agg(*[F.max(F.col("x")[i]).alias(f"f{i}") for i in range(n_features)]).first()
-    return [np.unique([v for v in (row[i] or []) if v < top[i]]) for i in range(n_features)]
+    rows = (x.mapInArrow(sketch, "feature int, v array<double>, n array<double>").repartition("feature")
+            .mapInArrow(cuts, "feature int, cuts array<double>").collect())  # a row per feature
+    found = {r.feature: r.cuts for r in rows}
+    return [np.array(found.get(i, []), float) for i in range(n_features)]
 
 
 def binned_rows(train: DataFrame, cuts: list[np.ndarray], features: str = "features") -> DataFrame:
@@ -235,7 +475,7 @@ def binned_rows(train: DataFrame, cuts: list[np.ndarray], features: str = "featu
 
     def run(batches):
         for batch in batches:
-            x = np.stack(batch.column(0).to_pylist()) if batch.num_rows else np.empty((0, len(cuts)))
+            x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, len(cuts))
             bins = np.stack([np.searchsorted(c, x[:, i], "left") for i, c in enumerate(cuts)], 1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r.tobytes() for r in bins], pa.binary()), batch.column(1), batch.column(2),
@@ -255,81 +495,54 @@ def _thresholds(tree: Tree, cuts: list[np.ndarray]) -> dict:
 # --- boosting -------------------------------------------------------------------------
 
 @dataclass(frozen=True)
-class Boosting:
+class Boosting(Rule):
     rounds: int = 200
     depth: int = 10
     step: float = 0.1
     l2: float = 1.0
     least_hessian: float = 1.0
 
+    def gain(self, left, right):
+        def score(s):
+            g, h = s[:, 1] / ONE, s[:, 2] / ONE
+            return g * g / (h + self.l2)
+
+        return (score(left) + score(right) - score(left + right)) / 2
+
+    def allowed(self, sums):
+        return sums[:, 2] >= int(self.least_hessian * ONE)
 
-def newton_gain(l2: float):
-    def score(sums):
-        g, h = sums[:, 1] / ONE, sums[:, 2] / ONE
-        return g * g / (h + l2)
+    def value(self, sums):
+        return -self.step * (sums[1] / ONE) / (sums[2] / ONE + self.l2)
 
-    return lambda left, right: (score(left) + score(right) - score(left + right)) / 2
+    def may_split(self, sums):
+        return sums[0] >= 2 and sums[2] >= 2 * int(self.least_hessian * ONE)
+
+
+def _prepared(train: DataFrame, features: str):
+    first = train.select(vector_to_array(features).alias("x")).first()
+    if first is None:
+        raise ValueError("no training rows")
+    cuts = cut_points(train, len(first["x"]), features)
+    binned = binned_rows(train, cuts, features)
+    return cuts, binned, binned.count()
 
 
 def fit_boosting(train: DataFrame, p: Boosting = Boosting(), features: str = "features") -> "TreeModel":
     """Second-order boosted trees for the logistic loss."""
-    n_features = len(train.select(vector_to_array(features).alias("x")).first()["x"])
-    cuts = cut_points(train, n_features, features)
-    binned = binned_rows(train, cuts, features)
-    least, gain = int(p.least_hessian * ONE), newton_gain(p.l2)
-    trees, recent = [], []
+    cuts, binned, n_rows = _prepared(train, features)
+    layout, trees, recent = Layout(cuts), [], []
     for _ in range(p.rounds):
-        tree = _boost_one(binned, n_features, recent, p, gain, least)
+        def weigh(bins, batch, _number, recent=tuple(recent)):
+            g, h = gradients(batch.column(2).to_numpy() + margins(bins, recent), batch.column(1).to_numpy())
+            return np.ones(len(g)), g, h
+
+        [tree] = grow_trees(binned, layout, [0], p, ["label", "margin"], weigh, n_rows)
         trees.append(_thresholds(tree, cuts))
         recent.append(tree.arrays())
         if len(recent) == REFRESH:
-            binned = _with_margins(binned, n_features, recent)
-            recent = []
-    return TreeModel.of("boosting", trees, n_features)
-
-
-def _boost_one(binned, n_features, recent, p: Boosting, gain, least: int) -> Tree:
-    tree, open_, sums_of = Tree(), [0], {}
-
-    def leaf(node, sums):
-        tree.value[node], tree.n[node] = -p.step * (sums[1] / ONE) / (sums[2] / ONE + p.l2), sums[0]
-
-    for _ in range(p.depth):
-        found = {}
-        for at in range(0, len(open_), JOB_NODES):
-            some = open_[at:at + JOB_NODES]
-            slots = np.full(len(tree.feature), -1, np.int32)
-            slots[some] = np.arange(len(some))
-            arrays = tree.arrays()
-
-            def stats(bins, batch):
-                margin = batch.column(2).to_numpy() + margins(bins, recent)
-                g, h = gradients(margin, batch.column(1).to_numpy())
-                slot = slots[descend(bins, arrays)]
-                rows = np.flatnonzero(slot >= 0)
-                if len(rows):
-                    yield rows, np.ones(len(rows)), g[rows], h[rows], slot[rows], None
-
-            best = level(binned, n_features, ["label", "margin"], stats, gain, lambda s: s[:, 2] >= least)
-            found.update({some[slot]: b for slot, b in best.items()})
-        following = []
-        for node in open_:
-            if node not in found:
-                continue
-            top, feature, cut, left, right = found[node]
-            if node not in sums_of:  # the root
-                leaf(node, [x + y for x, y in zip(left, right)])
-            if not top > LEAST_GAIN:
-                continue
-            for child, sums in zip(tree.split(node, feature, cut), (left, right)):
-                leaf(child, sums)
-                sums_of[child] = sums
-                if sums[2] >= 2 * least and sums[0] >= 2:
-                    following.append(child)
-        open_ = following
-        if not open_:
-            break
-    return tree
+            binned, recent = _with_margins(binned, len(cuts), recent), []
+    return TreeModel.of("boosting", trees, len(cuts))
 
 
 def _with_margins(binned: DataFrame, n_features: int, recent) -> DataFrame:
@@ -345,84 +558,50 @@ def _with_margins(binned: DataFrame, n_features: int, recent) -> DataFrame:
 # --- forest ---------------------------------------------------------------------------
 
 @dataclass(frozen=True)
-class Forest:
+class Forest(Rule):
+    """a and b are the weight of a node and that of its positives."""
+
     trees: int = 200
     depth: int = 20
     min_split: int = 5      # rows of a node that may be split
     min_leaf: int = 2       # rows of a leaf
     seed: int = 42
 
+    def gain(self, left, right):
+        """Fall of the weighted Gini impurity."""
+        def impurity(s):
+            w, y = s[:, 1], s[:, 2]
+            return 2.0 * y * (w - y) / np.maximum(w, 1)
 
-def gini_gain(left, right):
-    """Fall of the weighted Gini impurity; a and b are weight and weight of positives."""
-    def impurity(s):
-        w, y = s[:, 1], s[:, 2]
-        return 2.0 * y * (w - y) / np.maximum(w, 1)
+        return impurity(left + right) - impurity(left) - impurity(right)
 
-    return impurity(left + right) - impurity(left) - impurity(right)
+    def allowed(self, sums):
+        return sums[:, 0] >= self.min_leaf
 
+    def value(self, sums):
+        return sums[2] / sums[1] if sums[1] else 0.0
 
-def fit_forest(train: DataFrame, p: Forest = Forest(), features: str = "features") -> "TreeModel":
-    """Random forest: bootstrap rows per tree, sqrt(d) features per node."""
-    n_features = len(train.select(vector_to_array(features).alias("x")).first()["x"])
-    cuts = cut_points(train, n_features, features)
-    binned = binned_rows(train, cuts, features)
-    trees = []
-    for at in range(0, p.trees, TREES_AT_ONCE):
-        trees += _grow_forest(binned, n_features, range(at, min(p.trees, at + TREES_AT_ONCE)), p)
-    return TreeModel.of("forest", [_thresholds(t, cuts) for t in trees], n_features)
-
+    def may_split(self, sums):
+        return sums[0] >= self.min_split and 0 < sums[2] < sums[1]
 
-def _node_features(p: Forest, tree: int, node: int, n_features: int) -> np.ndarray:
-    k = max(1, int(n_features ** 0.5))
-    return np.sort(np.random.default_rng([p.seed, tree, node]).choice(n_features, k, replace=False))
+    def features(self, tree, path, n_features):
+        k = max(1, int(n_features ** 0.5))
+        return np.sort(np.random.default_rng([self.seed, tree, path]).choice(n_features, k, replace=False))
 
 
-def _grow_forest(binned, n_features, numbers, p: Forest) -> list[Tree]:
-    trees = {t: Tree() for t in numbers}
-    open_ = [(t, 0) for t in numbers]
-
-    def leaf(tree, node, sums):
-        tree.value[node], tree.n[node] = sums[2] / sums[1] if sums[1] else 0.0, sums[0]
+def fit_forest(train: DataFrame, p: Forest = Forest(), features: str = "features") -> "TreeModel":
+    """Random forest: bootstrap rows per tree, sqrt(d) features per node."""
+    cuts, binned, n_rows = _prepared(train, features)
+    layout, trees = Layout(cuts), []
 
-    for depth in range(p.depth):
-        following = []
-        for at in range(0, len(open_), JOB_NODES):
-            some = open_[at:at + JOB_NODES]
-            slots = {t: np.full(len(trees[t].feature), -1, np.int32) for t, _ in some}
-            for slot, (t, node) in enumerate(some):
-                slots[t][node] = slot
-            features = np.stack([_node_features(p, t, node, n_features) for t, node in some])
-            grown = [(t, trees[t].arrays(), own) for t, own in slots.items()]
+    def weigh(bins, batch, number):
+        drawn = bootstrap(batch.column(2).to_numpy(), number, p.seed).astype(np.float64)
+        return np.minimum(drawn, 1), drawn, drawn * batch.column(1).to_numpy()
 
-            def stats(bins, batch):
-                label, row = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-                for t, arrays, own in grown:
-                    weight = bootstrap(row, t, p.seed)
-                    slot = own[descend(bins, arrays)]
-                    rows = np.flatnonzero((slot >= 0) & (weight > 0))
-                    if len(rows):
-                        w = weight[rows].astype(np.float64)
-                        yield rows, np.ones(len(rows)), w, w * label[rows], slot[rows], features
-
-            best = level(binned, n_features, ["label", "row"], stats, gini_gain, lambda s: s[:, 0] >= p.min_leaf)
-            for slot, (top, feature, cut, left, right) in best.items():
-                t, node = some[slot]
-                if depth == 0:
-                    total = [x + y for x, y in zip(left, right)]
-                    leaf(trees[t], node, total)
-                    if total[0] < p.min_split:
-                        continue
-                if not top > LEAST_GAIN:
-                    continue
-                for child, sums in zip(trees[t].split(node, feature, cut), (left, right)):
-                    leaf(trees[t], child, sums)
-                    if sums[0] >= p.min_split and 0 < sums[2] < sums[1]:
-                        following.append((t, child))
-        open_ = sorted(following)
-        if not open_:
-            break
-    return list(trees.values())
+    for at in range(0, p.trees, TREES_AT_ONCE):
+        some = range(at, min(p.trees, at + TREES_AT_ONCE))
+        trees += grow_trees(binned, layout, some, p, ["label", "row"], weigh, n_rows)
+    return TreeModel.of("forest", [_thresholds(t, cuts) for t in trees], len(cuts))
 
 
 # --- the model ------------------------------------------------------------------------

@@ -61,8 +61,10 @@ def same(a, b):
         assert a == pytest.approx(b, abs=1e-6)
 
 
-def test_boosting_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("local", [0, 60, 50_000])
+def test_boosting_equals_brute_force(spark, monkeypatch, local):
     monkeypatch.setattr(tr, "REFRESH", 2)
+    monkeypatch.setattr(tr, "LOCAL_ROWS", local)
     x, y = data(200, 5, 1)
     p = tr.Boosting(rounds=5, depth=3, step=0.3, l2=1.0, least_hessian=1.0)
     model = tr.fit_boosting(frame(spark, x, y), p)
@@ -83,13 +85,32 @@ def test_result_does_not_depend_on_partitions(spark):
 
 def test_many_open_nodes_take_several_jobs(spark, monkeypatch):
     x, y = data(300, 4, 3)
+    monkeypatch.setattr(tr, "LOCAL_ROWS", 20)
     want = tr.fit_boosting(frame(spark, x, y), tr.Boosting(rounds=1, depth=5)).tree_list()
     monkeypatch.setattr(tr, "JOB_NODES", 2)
     assert tr.fit_boosting(frame(spark, x, y), tr.Boosting(rounds=1, depth=5)).tree_list() == want
 
 
-def test_forest_rules(spark, monkeypatch):
+def test_where_a_node_grows_does_not_matter(spark, monkeypatch):
+    x, y = data(300, 9, 8)
+    df, p = frame(spark, x, y), tr.Forest(trees=5, seed=1)
+
+    def shape(t, node=0):
+        if t["feature"][node] < 0:
+            return t["value"][node], t["n"][node]
+        return t["feature"][node], t["cut"][node], shape(t, t["left"][node]), shape(t, t["right"][node])
+
+    found = []
+    for local in (0, 40, 50_000):
+        monkeypatch.setattr(tr, "LOCAL_ROWS", local)
+        found.append([shape(t) for t in tr.fit_forest(df, p).tree_list()])
+    assert found[0] == found[1] == found[2]
+
+
+@pytest.mark.parametrize("local", [0, 50_000])
+def test_forest_rules(spark, monkeypatch, local):
     monkeypatch.setattr(tr, "TREES_AT_ONCE", 6)
+    monkeypatch.setattr(tr, "LOCAL_ROWS", local)
     x, y = data(400, 9, 4)
     p = tr.Forest(trees=10, depth=20, min_split=5, min_leaf=2, seed=7)
     df = frame(spark, x, y)
@@ -98,12 +119,15 @@ def test_forest_rules(spark, monkeypatch):
     for k, t in enumerate(model.tree_list()):
         drawn = tr.bootstrap(np.array([r.row for r in rows]), k, 7)
         assert t["n"][0] == (drawn > 0).sum()
+        path = {0: 1}
         for node, f in enumerate(t["feature"]):
+            if f >= 0:
+                path[t["left"][node]], path[t["right"][node]] = 2 * path[node], 2 * path[node] + 1
             if f >= 0:  # no node under five rows is split, no leaf has one row
                 assert t["n"][node] >= 5
                 assert t["n"][t["left"][node]] + t["n"][t["right"][node]] == t["n"][node]
                 assert min(t["n"][t["left"][node]], t["n"][t["right"][node]]) >= 2
-                assert f in tr._node_features(p, k, node, 9)
+                assert f in p.features(k, path[node], 9)
     assert ((model.score(x) > 0.5) == y).mean() > 0.9
 
 
@@ -122,7 +146,7 @@ def test_forest_cuts_are_the_best(spark):
             return 2 * pos * (total - pos) / max(total, 1)
 
         ways = [(impurity(np.arange(200)) - impurity(x[:, f] <= v) - impurity(x[:, f] > v), -f, -v)
-                for f in tr._node_features(tr.Forest(seed=3), k, 0, 4) for v in np.unique(x[:, f])[:-1]
+                for f in tr.Forest(seed=3).features(k, 1, 4) for v in np.unique(x[:, f])[:-1]
                 if min(((x[:, f] <= v) & (w > 0)).sum(), ((x[:, f] > v) & (w > 0)).sum()) >= 2]
         top = max(g for g, *_ in ways)
         assert (t["feature"][0], t["cut"][0]) in {(-f, -v) for g, f, v in ways if g > top - 1e-9}
@@ -145,6 +169,16 @@ def test_saved_model_scores_alike(spark, tmp_path):
     assert model.transform(df).select(pick).collect() == again.transform(df).select(pick).collect()
 
 
+def test_cut_points(spark):
+    """All values while they are few; even quantiles beyond that, whatever the partitions."""
+    draw = np.random.default_rng(9)
+    x = np.stack([draw.integers(0, 40, 20_000), draw.normal(size=20_000)], 1).astype(float)
+    few, many = tr.cut_points(frame(spark, x, np.zeros(20_000), 6), 2)
+    assert few.tolist() == list(range(39))
+    share = np.searchsorted(np.sort(x[:, 1]), many, "right") / 20_000
+    assert len(many) == 255 and np.abs(share - np.arange(1, 256) / 256).max() < 0.003
+
+
 def test_one_class_and_constant_features(spark):
     x = np.zeros((20, 2))
     model = tr.fit_boosting(frame(spark, x, np.ones(20)), tr.Boosting(rounds=2, depth=3))

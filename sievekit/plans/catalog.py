@@ -270,6 +270,7 @@ def strict_url_routes(spark, sf_dir):
 
 from ..operators import triage as TR  # noqa: E402
 from ..operators import logs as LG  # noqa: E402
+from ..operators import store as ST  # noqa: E402
 from ..operators import evaluation as EV  # noqa: E402
 from ..operators.split import stratified_split  # noqa: E402
 from ..sources import corpus as CO  # noqa: E402
@@ -417,15 +418,15 @@ def _store_logs(spark, sf_dir) -> DataFrame:
     """Screen all requests, append the verdicts by day, return the stored log."""
     path = _shared(spark, "query_logs")
     v = screen(T.requests(spark, sf_dir), carry=["request_id", "query", "user_id", "endpoint", "created_at"])
-    LG.append_table(LG.verdict_log(v), path)
-    return spark.read.parquet(path)
+    ST.append_batch(LG.verdict_log(v), path, "screened")
+    return ST.read_log(spark, path).drop("batch")
 
 
 def _store_feedback(spark, logs: DataFrame) -> DataFrame:
     """Feedback on every 17th log, appended by day and read again."""
     path = _shared(spark, "feedback_logs")
-    LG.append_table(T.feedback_from_logs(logs), path)
-    return spark.read.parquet(path)
+    ST.append_batch(T.feedback_from_logs(logs), path, "every-17th")
+    return ST.read_log(spark, path).drop("batch")
 
 
 #: The log relation with verdicts in place of the stand-in probability.
@@ -460,6 +461,20 @@ def verdict_statistics(spark, sf_dir):
     return LG.statistics(logs, _store_feedback(spark, logs.drop("log_date")), days=7)
 
 
+@register("append_retried", O.with_("query_logs") + "SELECT id, is_sql_injection, created_at FROM query_logs WHERE id % 3 <> 2")
+def append_retried(spark, sf_dir):
+    """Three batches: one appended twice, one rewritten after a broken attempt,
+    one that broke off before its commit and stays invisible."""
+    path, logs = _shared(spark, "retried_logs"), T.query_logs(spark, sf_dir)
+    part = lambda k: logs.where(F.col("id") % 3 == k)
+    for _ in range(2):
+        ST.append_batch(part(0), path, "first")
+    ST.stage_batch(part(1).where("id % 2 = 0"), path, "second")
+    ST.append_batch(part(1), path, "second")
+    ST.stage_batch(part(2), path, "third")
+    return ST.read_log(spark, path).select("id", "is_sql_injection", "created_at")
+
+
 @register("verdict_triage", _verdict_log_with("rec AS (" + _triage_sql_select() + ")")
           + "SELECT status, severity, issues_found, vulnerability_type, description, count(*) AS n FROM rec GROUP BY ALL")
 def verdict_triage(spark, sf_dir):
@@ -526,6 +541,27 @@ def daily_statistics(spark, sf_dir):
     return LG.daily_statistics(T.query_logs(spark, sf_dir), T.feedback_logs(spark, sf_dir))
 
 
+@register("daily_touched", f"""WITH daily AS ({ORACLE['daily_statistics']}), edge AS (
+  SELECT max(date) - 2 AS since FROM daily WHERE total_queries > 0)
+SELECT daily.*, date >= since AS recounted FROM daily, edge""")
+def daily_touched(spark, sf_dir):
+    """Daily counters after a second batch that holds the last days only: those
+    days are read and written again, the others stay as the first run left them."""
+    logs, feedback, daily = (_shared(spark, n) for n in ("daily_logs", "daily_feedback", "daily"))
+    rows, marks = T.query_logs(spark, sf_dir), T.feedback_logs(spark, sf_dir)
+    since = rows.select(F.date_sub(F.max(F.to_date("created_at")), 2)).first()[0]
+    day = F.to_date("created_at")
+    ST.append_batch(rows.where(day < since), logs, "early")
+    ST.append_batch(marks.where(day < since), feedback, "early")
+    ST.roll_up(spark, logs, feedback, daily)
+    ST.append_batch(rows.where(day >= since), logs, "late")
+    ST.append_batch(marks.where(day >= since), feedback, "late")
+    again = ST.roll_up(spark, logs, feedback, daily)
+    return spark.read.parquet(f"{daily}/data").select(
+        "date", "total_queries", "sql_injections_detected", "false_positives", "false_negatives",
+        F.col("date").isin(again).alias("recounted"))
+
+
 @register("recent_logs", O.with_("query_logs")
           + "SELECT * FROM query_logs ORDER BY created_at DESC, id DESC LIMIT 100")
 def recent_logs(spark, sf_dir):
@@ -563,6 +599,14 @@ def feedback_join(spark, sf_dir):
     return LG.feedback_join(T.feedback_logs(spark, sf_dir), T.query_logs(spark, sf_dir))
 
 
+@register("feedback_join_bucketed", _feedback_join_sql(None))
+def feedback_join_bucketed(spark, sf_dir):
+    """The same against a copy of the log bucketed by id: the log is not shuffled."""
+    path = _shared(spark, "logs_by_id")
+    logs = ST.by_id(T.query_logs(spark, sf_dir), f"logs_{path.rpartition('-')[2]}", path, buckets=8)
+    return LG.feedback_join(T.feedback_logs(spark, sf_dir), logs)
+
+
 @register("feedback_lookback", _feedback_join_sql(LG.FEEDBACK_LOOKBACK))
 def feedback_lookback(spark, sf_dir):
     return LG.feedback_join(T.feedback_logs(spark, sf_dir), T.query_logs(spark, sf_dir),

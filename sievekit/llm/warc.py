@@ -41,6 +41,7 @@ VERSION = b"WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"   # fixed, so that a rerun writes equal bytes
 MIN_REVISIT_BYTES = 0
 ARCHIVE_BYTES = 256 << 20       # an archive is closed beyond this size
+MAX_READERS = 100_000       # tasks that read archives, at most
 READ_BYTES = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -218,8 +219,10 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
                 if rows:
                     yield _batch(rows)
 
-    # A task takes whole archives; they have a bounded size.
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, SCHEMA)
+    # An archive has a bounded size and is a task's work: as many tasks as archives,
+    # a fixed number, since the bytes of their paths say nothing about them.
+    n = min(MAX_READERS, max(1, manifest.count()))
+    return manifest.select("path").repartitionByRange(n, "path").mapInArrow(run, SCHEMA)
 
 
 def _page_id(uri: str | None):

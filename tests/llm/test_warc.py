@@ -3,6 +3,7 @@ import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievekit.llm import warc
 
@@ -94,3 +95,15 @@ def test_archives_are_closed_at_their_size(spark):
                                "page_id long, url string, html string, refers_to long").coalesce(1)
     manifest = warc.write_archives(df, run_dir(spark, "warc"), archive_bytes=2000)
     assert manifest.count() > 3 and manifest.agg({"records": "sum"}).first()[0] == 60
+
+
+def test_archives_are_read_by_as_many_tasks(spark):
+    """Their paths are few bytes, which adaptive execution would merge into one task."""
+    pages = spark.range(240).selectExpr("id page_id", "concat('http://x/', id) url", "repeat(cast(id as string), 50) html")
+    folder = warc.run_dir(spark, "warc")
+    manifest = warc.write_archives(warc.plan_revisits(pages.repartition(24), 0), folder)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    tasks = warc.read_archives(spark, manifest, folder).select(F.spark_partition_id().alias("p"), "page_id")
+    assert manifest.count() >= 20
+    assert tasks.select("p").distinct().count() > manifest.count() // 2
+    assert tasks.select("page_id").distinct().count() == 240

@@ -3,9 +3,10 @@
 Texts are equal when their bytes are the same after deleting ASCII white
 space. The index key is the leading bits of the SHA-256 of that text.
 
-1. Every task deletes white space, folds equal texts of each batch into one
-   entry (compared by bytes) and writes its entries, with the bytes and the
-   ids, to the shared folder. A hot text leaves one entry per batch.
+1. Every task deletes white space, folds equal texts among some 50,000 rows,
+   or 16 MB of text, into one entry (compared by bytes) and writes its entries,
+   with the bytes and the ids, to the shared folder. So a hot text leaves an
+   entry for each such run of rows, and no list is longer than that.
 2. The directory starts at depth 0 and doubles: an overfull bucket splits on
    the next key bit until it fits, or until no key bit is left. It is built
    from bytes per key prefix, read at 12 bits and again 4 bits deeper only
@@ -40,6 +41,7 @@ FIRST_STEP, STEP = 12, 4        # key bits read at once while the directory grow
 MIN_CAPACITY = 4 << 20          # bytes of a bucket below which it never splits
 MAX_BUCKETS = 1 << 14           # buckets that the capacity aims at
 BATCH_BYTES = 16 << 20          # text folded at once in a map task
+BATCH_ROWS = 50_000             # rows folded at once, so of an entry's list
 
 _DELETE = b" \t\n\x0b\x0c\r"
 
@@ -73,7 +75,7 @@ def _entries(key_bits: int):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     def run(batches):
-        found, held = {}, 0
+        found, held, n_rows = {}, 0, 0
         for batch in batches:
             for ids, uids, texts in slices(batch, ["doc_id", "uid", "text"]):
                 for doc_id, uid, text in zip(ids, uids, texts):
@@ -87,9 +89,10 @@ def _entries(key_bits: int):
                         got[1].append(uid)
                         if rank < got[2]:
                             found[body] = (got[0], got[1], rank)
-                if held >= BATCH_BYTES or len(found) >= 50_000:
+                n_rows += len(ids)  # repeats add no text, but to the lists of ids
+                if held >= BATCH_BYTES or n_rows >= BATCH_ROWS:
                     yield flush(found)
-                    found, held = {}, 0
+                    found, held, n_rows = {}, 0, 0
         if found:
             yield flush(found)
 

@@ -35,6 +35,16 @@ def test_hot_text(spark):
     assert got.where("kept").count() == len({ed.normalise(t) for _, t in rows})
 
 
+def test_one_text_in_a_million_rows(spark):
+    """Lists of ids stay bounded although one partition holds a single text."""
+    docs = spark.range(1_000_000).coalesce(1).selectExpr("id doc_id", "'same' text", "id uid")
+    entries = docs.mapInArrow(ed._entries(ed.KEY_BITS), ed.ENTRY).selectExpr("rows", "size(ids) n").collect()
+    assert sum(e.rows for e in entries) == 1_000_000 and max(e.n for e in entries) <= 2 * ed.BATCH_ROWS
+    got = ed.exact_dedup(docs.select("doc_id", "text"))
+    assert got.selectExpr("count(*)", "max(group_size)", "count_if(kept)", "max(keep_id)").first() == (
+        1_000_000, 1_000_000, 1, 0)
+
+
 def test_directory_splits_overfull_buckets(spark):
     rows = [(k << 50, "x" * 1000) for k in range(256)] + [(7, "y")]
     entries = spark.createDataFrame(rows, "key long, body string").selectExpr("key", "cast(body as binary) body")

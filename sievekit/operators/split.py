@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def seeded_hash(key: Column, seed: int) -> Column:
     """Hex md5 of ``key|seed`` (same value in Spark and in SQL engines)."""
@@ -22,7 +24,7 @@ def seeded_hash(key: Column, seed: int) -> Column:
 BROADCAST_LABELS = 100_000
 
 
-def cut_hashes(df: DataFrame, key: str, label: str, test_size: float, seed: int, bucket_hex: int) -> DataFrame:
+def cut_hashes(df: DataFrame, key: str, label: str, test_size: float, seed: int, bucket_hex: int = 4) -> DataFrame:
     """(label, largest hash of the test side); labels without test rows are absent."""
     narrow = df.select(label, seeded_hash(F.col(key), seed).alias("_h"))
     bucket = F.substring("_h", 1, bucket_hex)
@@ -34,20 +36,23 @@ def cut_hashes(df: DataFrame, key: str, label: str, test_size: float, seed: int,
         label, "_b", "_n", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
         F.ceil(F.sum("_n").over(per_label).cast("decimal(20,0)") * frac).cast("long").alias("_k"))
     edge = edge.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_n")))
-    inside = narrow.withColumn("_b", bucket).join(F.broadcast(edge) if _few(edge) else edge, [label, "_b"])
+    inside = narrow.withColumn("_b", bucket).join(_small(edge, "split-edge"), [label, "_b"])
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_h"))
     return (inside.withColumn("_r", rank).where(F.col("_r") == F.col("_k") - F.col("_before"))
             .select(label, F.col("_h").alias("_cut")))
 
 
-def _few(one_row_per_label: DataFrame) -> bool:
-    return one_row_per_label.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+def _small(one_row_per_label: DataFrame, name: str) -> DataFrame:
+    """Written once, then counted and broadcast if the labels are few: the
+    input is not read again for the count."""
+    rows = written(one_row_per_label, name)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_LABELS else rows
 
 
 def stratified_split(df: DataFrame, key: str, label: str = "label", test_size: float = 0.2,
                      seed: int = 42, bucket_hex: int = 4) -> DataFrame:
     """``df`` plus a boolean ``is_test`` column."""
-    cuts = cut_hashes(df, key, label, test_size, seed, bucket_hex)
-    joined = df.join(F.broadcast(cuts) if _few(cuts) else cuts, label, "left")
+    cuts = _small(cut_hashes(df, key, label, test_size, seed, bucket_hex), "split-cuts")
+    joined = df.join(cuts, label, "left")
     is_test = F.coalesce(seeded_hash(F.col(key), seed) <= F.col("_cut"), F.lit(False))
     return joined.select(*df.columns, is_test.alias("is_test"))

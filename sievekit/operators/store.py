@@ -14,29 +14,19 @@ joins by id shuffle the other side alone.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import read_parts
 from .logs import daily_statistics, with_log_date
 
 COMMIT = "batch string, days array<date>, n_rows long"
 DAILY_RUN = "table string, batch string"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The parquet rows below ``path``; none if nothing was written there yet."""
-    try:
-        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def commits(spark: SparkSession, path: str) -> DataFrame:
     """(batch, days, n_rows) of every committed batch."""
-    return _read(spark, f"{path}/commits", COMMIT)
+    return read_parts(spark, f"{path}/commits", COMMIT)
 
 
 def append_batch(df: DataFrame, path: str, batch: str, ts: str = "created_at") -> bool:
@@ -75,7 +65,7 @@ def touched_days(spark: SparkSession, path: str, seen: DataFrame) -> DataFrame:
 def roll_up(spark: SparkSession, logs: str, feedback: str, daily: str) -> list:
     """Recount the days that batches since the last run touched, in either
     table; those days, in order. Run again after a failure it does them again."""
-    runs = _read(spark, f"{daily}/runs", DAILY_RUN)
+    runs = read_parts(spark, f"{daily}/runs", DAILY_RUN)
     fresh = None
     for name, path in (("logs", logs), ("feedback", feedback)):
         seen = runs.where(F.col("table") == name).select("batch").distinct()

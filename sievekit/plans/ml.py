@@ -16,10 +16,11 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
@@ -34,8 +35,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.features import FEATURE_NAMES, assemble, featurize
 from ..operators.evaluation import best_model, binary_metrics
-from ..operators.split import stratified_split
-from ..session import ensure_checkpoint_dir, written
+from ..operators.split import cut_hashes, seeded_hash, stratified_split
+from ..session import ensure_checkpoint_dir, read_parts, shared_path, written
 from . import trees
 
 #: XGBoost_gbt is second-order boosting on histograms (``trees``), the RBF SVM
@@ -243,22 +244,62 @@ def load(spark: SparkSession, out: str) -> tuple[PipelineModel, dict]:
     return model, info
 
 
+RESULT = "seed INT, model STRING, accuracy DOUBLE, precision DOUBLE, recall DOUBLE, f1_score DOUBLE, error STRING"
+SIDE_BY_SIDE = 4  # fits of the grid that run at once
+
+
 def experiments(spark: SparkSession, corpus: DataFrame, key: str, seeds=(0, 1, 2, 3, 4),
-                learners=LEARNERS, rounds: int = 200) -> DataFrame:
-    """Metrics per (seed, model) with library-default settings on all rows; a
-    learner that rejects its input is recorded with its error instead of a
-    score. Failures of the cluster are not: they raise."""
-    rows = []
-    for seed in seeds:
-        for name in learners:
-            try:
-                m, _, _ = train_evaluate(spark, corpus, key, [name], 0.2, seed, defaults=True, rounds=rounds)
-                r = m.first()
-                rows.append((seed, name, r["accuracy"], r["precision"], r["recall"], r["f1_score"], None))
-            except IllegalArgumentException as e:
-                rows.append((seed, name, None, None, None, None, f"{type(e).__name__}: {e}"))
-    return spark.createDataFrame(rows, "seed INT, model STRING, accuracy DOUBLE, precision DOUBLE, "
-                                       "recall DOUBLE, f1_score DOUBLE, error STRING")
+                learners=LEARNERS, rounds: int = 200, out: str | None = None) -> DataFrame:
+    """Metrics per (seed, model) with library-default settings on all rows.
+
+    The corpus is featurised once, with the side each seed puts a row on as a
+    column of its own. Fits run side by side, in a scheduler pool each, so
+    short jobs of one fill the gaps of another. Each result is stored under
+    ``out``: a grid that broke off goes on with what is missing. A learner that
+    rejects its input is recorded with its error instead of a score. Failures
+    of the cluster are not: they raise.
+    """
+    out = out or shared_path(spark, "experiments")
+    found = _stored(spark, f"{out}/results")
+    todo = [(seed, name) for seed in seeds for name in learners if (seed, name) not in found]
+    if todo:
+        split, narrow = corpus.select(key, "query", "label"), written(corpus.select(key, "label"), "experiment-keys")
+        for seed in seeds:
+            cuts = cut_hashes(narrow, key, "label", 0.2, seed).collect()  # a row per label, and there are two
+            split = split.withColumn(f"is_test_{seed}", _is_test(cuts, key, seed))
+        data = written(prepare(split, keep=[key, *[f"is_test_{s}" for s in seeds]]), "experiment-features")
+        with ThreadPool(min(SIDE_BY_SIDE, len(todo))) as pool:
+            pool.map(inheritable_thread_target(spark)(lambda job: _one_fit(data, *job, rounds, out)), todo, chunksize=1)
+    rows = [r for job, r in sorted(_stored(spark, f"{out}/results").items()) if job[0] in seeds and job[1] in learners]
+    return spark.createDataFrame(rows, RESULT)
+
+
+def _is_test(cuts, key: str, seed: int):
+    """The cut of ``stratified_split`` as a condition on the row itself."""
+    out = F.lit(False)
+    for value, cut_hash in cuts:
+        out = F.when(F.col("label") == value, seeded_hash(F.col(key), seed) <= cut_hash).otherwise(out)
+    return out
+
+
+def _one_fit(data: DataFrame, seed: int, name: str, rounds: int, out: str) -> None:
+    spark = data.sparkSession
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{name}-{seed}")
+    side = F.col(f"is_test_{seed}")
+    train, test = data.where(~side), data.where(side)
+    try:
+        model = fit(name, train, train.count(), seed, defaults=True, rounds=rounds)
+        m = binary_metrics(predictions(model, test, name), group="model").first()
+        row = (seed, name, m["accuracy"], m["precision"], m["recall"], m["f1_score"], None)
+    except IllegalArgumentException as e:
+        row = (seed, name, None, None, None, None, f"{type(e).__name__}: {e}")
+    spark.createDataFrame([row], RESULT).coalesce(1).write.mode("overwrite").parquet(f"{out}/results/{name}-{seed}")
+
+
+def _stored(spark: SparkSession, path: str) -> dict[tuple, tuple]:
+    """(seed, model) → row of the results that are complete."""
+    rows = read_parts(spark, path, RESULT).collect()  # a row per fit
+    return {(r.seed, r.model): tuple(r) for r in rows}
 
 
 def train_job(spark: SparkSession, out: str, path: str | None = None, fmt: str = "csv",

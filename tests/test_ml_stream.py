@@ -95,6 +95,37 @@ def test_rejected_input_is_recorded_and_other_errors_raise(spark, monkeypatch):
         ml.experiments(spark, corpus, "request_id", seeds=(0,), learners=["RandomForest"])
 
 
+def test_grid_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
+    """Features are made once; stored results are not fitted again; sides are those of the split."""
+    from sievekit.operators.split import stratified_split
+    corpus = T.requests(spark, "/root/testdata/sf0.001").select("request_id", "query", "label")
+    out, calls, real = str(tmp_path / "grid"), [], ml.fit
+    prepared = []
+    monkeypatch.setattr(ml, "prepare", lambda *a, f=ml.prepare, **k: prepared.append(1) or f(*a, **k))
+
+    def watched(name, train, n_train, seed=42, *_, **_k):
+        calls.append((seed, name))
+        want = stratified_split(corpus, "request_id", "label", 0.2, seed).where("NOT is_test")
+        assert train.select("request_id").exceptAll(want.select("request_id")).isEmpty() and n_train == want.count()
+        return real(name, train, n_train, seed, defaults=True, rounds=2)
+
+    monkeypatch.setattr(ml, "fit", watched)
+    monkeypatch.setattr(ml, "SIDE_BY_SIDE", 1)
+    grid = dict(seeds=(0, 1), learners=["LogisticRegression", "XGBoost_gbt"], out=out)
+    with pytest.raises(RuntimeError):
+        monkeypatch.setattr(ml, "fit", lambda name, *a, **k: (_ for _ in ()).throw(RuntimeError("lost"))
+                            if name == "XGBoost_gbt" else watched(name, *a, **k))
+        ml.experiments(spark, corpus, "request_id", **{**grid, "seeds": (0,)})
+    assert calls == [(0, "LogisticRegression")]
+    calls.append("resumed")
+    monkeypatch.setattr(ml, "fit", watched)
+    rows = ml.experiments(spark, corpus, "request_id", **grid).collect()
+    assert sorted(calls[2:]) == [(0, "XGBoost_gbt"), (1, "LogisticRegression"), (1, "XGBoost_gbt")]
+    assert len(prepared) == 2 and len(rows) == 4 and all(r.accuracy > 0.9 for r in rows)
+    calls.append("again")
+    assert ml.experiments(spark, corpus, "request_id", **grid).count() == 4 and calls[-1] == "again" and len(prepared) == 2
+
+
 def test_retraining_with_feedback(spark, tmp_path):
     texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
     feedback = spark.createDataFrame([("feedback text", 1), ("' OR 1=1", 1)], "query STRING, label INT")

@@ -20,7 +20,7 @@ STATUS_VULNERABLE, STATUS_WARNING, STATUS_SAFE = "vulnerable", "warning", "safe"
 SEVERITY = {STATUS_VULNERABLE: "High", STATUS_WARNING: "Medium", STATUS_SAFE: "Low"}
 ISSUES = {STATUS_VULNERABLE: 3, STATUS_WARNING: 1, STATUS_SAFE: 0}
 TEXT_VULNERABLE = "The model detected SQL injection characteristics. Confidence: %d%%."
-TEXT_WARNING = ("Suspicious patterns detected (Injection probability %.1f%%). "
+TEXT_WARNING = ("Suspicious patterns detected (Injection probability %s%%). "
                 "Manual review recommended.")
 TEXT_SAFE = "No SQL injection characteristics detected. Confidence: %d%%."
 TYPE_INJECTION, TYPE_POTENTIAL, TYPE_NONE = "SQL Injection", "Potential SQL Injection", "None"
@@ -52,6 +52,28 @@ def half_up_percent(x: Column) -> Column:
     return F.floor(x * 100 + F.lit(0.5)).cast("long")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """``x`` with a number of decimals, rounded by its exact binary value; an
+    exact tie goes to the larger magnitude.
+
+    The fraction is cut into three runs of 26 bits, each a whole number, so
+    scaling by 10^digits and the carries between the runs are exact in 64 bits.
+    Bits below the third run belong to fractions that round to zero anyway.
+    """
+    run, scale = float(1 << 26), 10 ** digits
+    size = F.abs(x)
+    whole = F.floor(size)
+    first = (size - whole) * run
+    second = (first - F.floor(first)) * run
+    third = (second - F.floor(second)) * run
+    high, mid, low = ((F.floor(v) * scale).cast("long") for v in (first, second, third))
+    carry = F.shiftright(F.shiftleft(mid, 26) + low, 52)
+    n = whole.cast("long") * scale + F.shiftright(high + carry + (1 << 25), 26)
+    out = F.concat(((n - n % scale) / scale).cast("decimal(20,0)").cast("string"), F.lit("."),
+                   F.lpad((n % scale).cast("string"), digits, "0"))
+    return F.when(x < 0, F.concat(F.lit("-"), out)).otherwise(out)
+
+
 def status(is_injection: Column, prob: Column) -> Column:
     p = F.coalesce(F.when(~F.isnan(prob), prob), F.lit(0.0))
     return (F.when(F.coalesce(is_injection, F.lit(False)), F.lit(STATUS_VULNERABLE))
@@ -70,7 +92,7 @@ def description(st: Column, conf: Column, prob: Column) -> Column:
     pct = half_up_percent(confidence_used(conf, prob))
     p = F.coalesce(F.when(~F.isnan(prob), prob), F.lit(0.0))
     return (F.when(st == STATUS_VULNERABLE, F.format_string(TEXT_VULNERABLE, pct))
-             .when(st == STATUS_WARNING, F.format_string(TEXT_WARNING, p * 100))
+             .when(st == STATUS_WARNING, F.format_string(TEXT_WARNING, fixed(p * 100, 1)))
              .otherwise(F.format_string(TEXT_SAFE, pct)))
 
 
@@ -83,7 +105,7 @@ def vulnerability_type(is_injection: Column, st: Column) -> Column:
 def percent_text(x: Column) -> Column:
     """Two decimals and '%', or 'N/A' when missing."""
     d = x.cast("double")
-    return F.when(d.isNull() | F.isnan(d), F.lit("N/A")).otherwise(F.format_string("%.2f%%", d * 100))
+    return F.when(d.isNull() | F.isnan(d), F.lit("N/A")).otherwise(F.concat(fixed(d * 100, 2), F.lit("%")))
 
 
 def html_escape(x: Column) -> Column:

@@ -292,6 +292,15 @@ def screen_status_counts(spark, sf_dir):
     return v.groupBy("route", st.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _fixed_sql(x: str, digits: int) -> str:
+    """``x`` >= 0 with some decimals: all digits of the binary value are printed, the next one decides."""
+    full = f"printf('%.80f', {x})"
+    point = f"instr({full}, '.')"
+    n = (f"(replace(substr({full}, 1, {point} + {digits}), '.', '')::BIGINT"
+         f" + CASE WHEN substr({full}, {point} + {digits + 1}, 1) >= '5' THEN 1 ELSE 0 END)")
+    return f"({n} // {10 ** digits}) || '.' || lpad(({n} % {10 ** digits})::VARCHAR, {digits}, '0')"
+
+
 def _triage_sql_select(src: str = "query_logs") -> str:
     conf_used = ("CASE WHEN confidence IS NOT NULL AND NOT isnan(confidence) AND confidence <> 0 THEN confidence "
                  "WHEN probability_injection IS NOT NULL AND NOT isnan(probability_injection) "
@@ -304,8 +313,8 @@ def _triage_sql_select(src: str = "query_logs") -> str:
   CAST(CASE {st} WHEN 'vulnerable' THEN 3 WHEN 'warning' THEN 1 ELSE 0 END AS BIGINT) AS issues_found,
   CASE {st}
     WHEN 'vulnerable' THEN 'The model detected SQL injection characteristics. Confidence: ' || {pct} || '%.'
-    WHEN 'warning' THEN printf('Suspicious patterns detected (Injection probability %.1f%%). Manual review recommended.',
-                               coalesce(probability_injection, 0.0) * 100)
+    WHEN 'warning' THEN 'Suspicious patterns detected (Injection probability '
+      || {_fixed_sql('coalesce(probability_injection, 0.0) * 100', 1)} || '%). Manual review recommended.'
     ELSE 'No SQL injection characteristics detected. Confidence: ' || {pct} || '%.' END AS description,
   CASE WHEN coalesce(is_sql_injection, false) THEN 'SQL Injection'
        WHEN {st} = 'warning' THEN 'Potential SQL Injection' ELSE 'None' END AS vulnerability_type,
@@ -332,7 +341,7 @@ def triage_filter_warning(spark, sf_dir):
 
 
 def _pct_sql(x: str) -> str:
-    return f"CASE WHEN {x} IS NULL OR isnan({x}) THEN 'N/A' ELSE printf('%.2f%%', {x} * 100) END"
+    return f"CASE WHEN {x} IS NULL OR isnan({x}) THEN 'N/A' ELSE {_fixed_sql(f'{x} * 100', 2)} || '%' END"
 
 
 @register("export_csv_rows", O.with_("query_logs", extra=["rec AS (" + _triage_sql_select() + ")"])

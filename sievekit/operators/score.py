@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.features import FEATURES, assemble, featurize
@@ -163,4 +163,22 @@ def batch_counters(verdicts: DataFrame) -> DataFrame:
                         F.count_if(F.col("is_sql_injection")).alias("injections_detected"))
 
 
-__all__ = ["screen", "RuleScorer", "ModelScorer", "batch_counters", "FEATURES", "VERDICT_COLUMNS"]
+def observed(verdicts: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same verdicts, and counters that fill while they are written: no
+    second scan. They are there once the first action over the frame has ended."""
+    counters = Observation()
+    return verdicts.observe(
+        counters, F.count(F.lit(1)).alias("total_queries"),
+        F.count_if(F.col("is_sql_injection")).alias("injections_detected"),
+        F.count_if(F.col("error").isNotNull()).alias("invalid"),
+        F.coalesce(F.sum("params_scored"), F.lit(0)).alias("params_scored")), counters
+
+
+def counter_row(spark: SparkSession, counters: Observation) -> DataFrame:
+    """The filled counters as one row."""
+    got = counters.get
+    names = ["total_queries", "injections_detected", "invalid", "params_scored"]
+    return spark.createDataFrame([tuple(got[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+__all__ = ["observed", "counter_row", "screen", "RuleScorer", "ModelScorer", "batch_counters", "FEATURES", "VERDICT_COLUMNS"]

@@ -897,23 +897,12 @@ def experiments(spark, sf_dir):
 
 # --- §2.12 streaming (file stream of events, run to completion) -------------------------
 
-_STREAM_RUNS: dict[tuple[str, str], tuple[str, str]] = {}
-
-
-def _screen_stream(spark, sf_dir):
-    """One run writes both sinks: the second query of a session reads them."""
-    from ..streaming.jobs import run_screen_stream
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _STREAM_RUNS:
-        _STREAM_RUNS[at] = run_screen_stream(spark, sf_dir)
-    return _STREAM_RUNS[at]
-
-
 @register("stream_screen", O.with_("requests", extra=verdict_ctes()) + """SELECT v.request_id, v.route,
   v.is_sql_injection, v.confidence, v.probability_injection, v.vulnerable_parameter, r.endpoint
 FROM verdicts v JOIN requests r ON r.request_id = v.request_id""")
 def stream_screen(spark, sf_dir):
-    log_path, _ = _screen_stream(spark, sf_dir)
+    from ..streaming.jobs import run_screen_stream
+    log_path, _ = run_screen_stream(spark, sf_dir)
     return spark.read.parquet(log_path).select(
         "request_id", "route", "is_sql_injection", "confidence", "probability_injection",
         "vulnerable_parameter", "endpoint")
@@ -923,10 +912,34 @@ def stream_screen(spark, sf_dir):
   r.endpoint, r.created_at AS blocked_at, 'SQL injection detected' AS reason
 FROM verdicts v JOIN requests r ON r.request_id = v.request_id WHERE v.is_sql_injection""")
 def stream_block(spark, sf_dir):
-    _, blocked = _screen_stream(spark, sf_dir)
+    from ..streaming.jobs import run_screen_stream
+    _, blocked = run_screen_stream(spark, sf_dir)
     return spark.read.parquet(blocked).select("id", "query", "endpoint", "blocked_at", "reason")
 
 
+_COUNTERS_SQL = O.with_("requests", extra=verdict_ctes()) + """SELECT count(*) AS total_queries,
+  count_if(is_sql_injection) AS injections_detected, count_if(error IS NOT NULL) AS invalid,
+  coalesce(sum(params_scored), 0)::BIGINT AS params_scored FROM verdicts"""
+
+
+@register("screen_counted", _COUNTERS_SQL)
+def screen_counted(spark, sf_dir):
+    """Counters of a batch, observed while its verdicts are written: one scan, no second scoring."""
+    from ..operators.score import counter_row, observed
+    verdicts, counters = observed(screen(T.requests(spark, sf_dir)))
+    verdicts.write.parquet(_shared(spark, "verdicts"))
+    return counter_row(spark, counters)
+
+
+@register("stream_counted", _COUNTERS_SQL)
+def stream_counted(spark, sf_dir):
+    """The counters that each micro-batch stored beside its verdicts, added up."""
+    from ..streaming.jobs import run_screen_stream
+    log_path, _ = run_screen_stream(spark, sf_dir)
+    rows = spark.read.parquet(f"{log_path.rpartition('/')[0]}/counters")
+    return rows.agg(*[F.sum(c).alias(c) for c in ("total_queries", "injections_detected", "invalid", "params_scored")])
+
+
 @register("stream_daily", O.with_("query_logs") + """SELECT CAST(created_at AS DATE) AS date,
   count(*) AS total_queries, count_if(is_sql_injection) AS sql_injections_detected
 FROM query_logs GROUP BY 1""")

@@ -4,7 +4,8 @@
   screening is row by row, so each micro-batch runs the batch code in
   ``foreachBatch``; both sinks are written from one persisted batch. Writes go
   to a directory named after the batch id and overwrite it, so a retried batch
-  replaces its own output instead of appending twice. ``max_files`` bounds a
+  replaces its own output instead of appending twice. The batch's counters are
+  observed while it is written and stored beside it. ``max_files`` bounds a
   batch, so a backlog is worked off in pieces.
 * ``daily_counter_stream``: event-time daily counters. Update mode sends the
   days that changed; each replaces its own partition. With a watermark (a live
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.logs import BLOCK_REASON
-from ..operators.score import RuleScorer, screen
+from ..operators.score import RuleScorer, counter_row, observed, screen
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as T
 
@@ -60,20 +61,24 @@ def _with_event_time(df: DataFrame, ts: str = "created_at") -> DataFrame:
 
 
 def screen_stream(spark: SparkSession, requests: DataFrame, log_path: str, blocked_path: str,
-                  checkpoint: str, scorer=None, available_now: bool = True,
+                  checkpoint: str, scorer=None, available_now: bool = True, counters_path: str | None = None,
                   carry=("request_id", "query", "user_id", "endpoint", "created_at")) -> StreamingQuery:
     scorer = scorer or RuleScorer()
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
         v = screen(batch, key="request_id", col="query", scorer=scorer, carry=list(carry)).persist()
         try:
-            (v.withColumn("log_date", F.to_date("created_at"))
+            counted, counters = observed(v)
+            (counted.withColumn("log_date", F.to_date("created_at"))
              .write.mode("overwrite").partitionBy("log_date")
              .parquet(f"{log_path}/epoch={epoch}"))
             (v.where(F.col("is_sql_injection"))
              .select(F.col("request_id").alias("id"), "query", "endpoint",
                      F.col("created_at").alias("blocked_at"), F.lit(BLOCK_REASON).alias("reason"))
              .write.mode("overwrite").parquet(f"{blocked_path}/epoch={epoch}"))
+            if counters_path:
+                (counter_row(spark, counters).coalesce(1).write.mode("overwrite")
+                 .parquet(f"{counters_path}/epoch={epoch}"))
         finally:
             v.unpersist()
 
@@ -107,11 +112,12 @@ def daily_counter_stream(logs: DataFrame, sink: str, checkpoint: str, delay: str
 
 
 def run_screen_stream(spark: SparkSession, folder: str, scorer=None) -> tuple[str, str]:
-    """Run X1+X2 to completion over the files present; returns (log, blocked) paths."""
+    """Run X1+X2 to completion over the files present; returns (log, blocked) paths.
+    The counters of each batch are beside them, in ``counters``."""
     base = scratch(spark, "screen")
     log_path, blocked_path = f"{base}/query_logs", f"{base}/blocked_requests"
     q = screen_stream(spark, request_stream(spark, folder), log_path, blocked_path,
-                      f"{base}/_checkpoint", scorer)
+                      f"{base}/_checkpoint", scorer, counters_path=f"{base}/counters")
     q.awaitTermination()
     return log_path, blocked_path
 

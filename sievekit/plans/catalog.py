@@ -876,6 +876,30 @@ def screen_with_model(spark, sf_dir):
     return v.select("request_id", "route", "label", "params_scored", "note", consistent.alias("consistent"))
 
 
+@register("trained_from_file", O.with_("requests", extra=verdict_ctes()) + f"""SELECT v.route, count(*) AS n,
+  sum(v.params_scored)::BIGINT AS params_scored, true AS consistent, 'LogisticRegression' AS model_name,
+  {len(FEATURE_NAMES)} AS n_features, 1 AS n_candidates
+FROM requests r JOIN verdicts v ON v.request_id = r.request_id GROUP BY v.route""")
+def trained_from_file(spark, sf_dir):
+    """Write a labelled CSV file, train from it, publish, load the published
+    model and screen every request with it."""
+    from . import ml
+    from ..operators.score import ModelScorer
+    base = _shared(spark, "training")
+    spelled = _spelled(spark, sf_dir).where(~F.col("Class").isin([v[-1] for v in WRITTEN_SPELLINGS.values()]))
+    (spelled.select("Payload", "Class").write.option("header", True).option("quoteAll", True).option("escape", '"')
+     .csv(f"{base}/labelled"))
+    metrics = ml.train_job(spark, f"{base}/model", path=f"{base}/labelled", learners=["LogisticRegression"])
+    model, info = ml.load(spark, f"{base}/model")
+    v = screen(T.requests(spark, sf_dir), scorer=ModelScorer(model))
+    p, inj = F.col("probability_injection"), F.col("is_sql_injection")
+    return v.groupBy("route").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("params_scored").alias("params_scored"),
+        F.every(p.between(0, 1) & (inj == (p > 0.5))).alias("consistent")).select(
+        "*", F.lit(info["model_name"]).alias("model_name"), F.lit(info["feature_count"]).alias("n_features"),
+        F.lit(metrics.count()).alias("n_candidates"))
+
+
 EXPERIMENT_SEEDS, EXPERIMENT_ROUNDS = (0, 1, 2, 3, 4), 5
 
 

@@ -223,25 +223,45 @@ def select_best(metrics: DataFrame) -> DataFrame:
     return best_model(metrics, group="model", order="ordinal")
 
 
-def save(spark: SparkSession, model: PipelineModel, name: str, out: str,
-         metrics: DataFrame | None = None, version: str | None = None) -> None:
-    """Model directory + metadata (name, feature count, feature names); the
-    metrics of every candidate are appended to ``out/model_metrics``."""
-    model.write().overwrite().save(f"{out}/model")
-    info = {"model_name": name, "feature_count": len(FEATURE_NAMES), "feature_names": FEATURE_NAMES}
-    spark.createDataFrame([(json.dumps(info),)], "value STRING").coalesce(1) \
-        .write.mode("overwrite").text(f"{out}/model_info")
-    if metrics is not None:
-        (metrics.select(F.col("model").alias("model_name"), "accuracy", "precision", "recall",
-                        "f1_score", F.current_timestamp().alias("training_date"),
-                        F.lit(version).cast("string").alias("model_version"))
-         .write.mode("append").parquet(f"{out}/model_metrics"))
+POINTER = "ordinal LONG, version STRING, model_name STRING"
+
 
+def save(spark: SparkSession, model: PipelineModel, name: str, out: str,
+         metrics: DataFrame | None = None, version: str | None = None) -> str:
+    """Publish a model; returns its version.
 
-def load(spark: SparkSession, out: str) -> tuple[PipelineModel, dict]:
-    model = PipelineModel.load(f"{out}/model")
-    info = json.loads(spark.read.text(f"{out}/model_info").first()[0])
-    return model, info
+    Model and metadata (name, features) are written aside, under
+    ``out/versions/<version>``; then one small pointer row makes it the current
+    one. A save that breaks off leaves the model before it in place. The
+    metrics of every candidate are kept with the version.
+    """
+    version = version or uuid.uuid4().hex
+    at = f"{out}/versions/{version}"
+    model.write().overwrite().save(f"{at}/model")
+    info = {"model_name": name, "feature_count": len(FEATURE_NAMES), "feature_names": FEATURE_NAMES, "version": version}
+    spark.createDataFrame([(json.dumps(info),)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{at}/model_info")
+    if metrics is not None:
+        (metrics.select(F.col("model").alias("model_name"), "accuracy", "precision", "recall", "f1_score",
+                        F.current_timestamp().alias("training_date"), F.lit(version).alias("model_version"))
+         .coalesce(1).write.mode("overwrite").parquet(f"{out}/model_metrics/model_version={version}"))
+    n = read_parts(spark, f"{out}/current", POINTER).count()
+    spark.createDataFrame([(n, version, name)], POINTER).coalesce(1).write.mode("append").parquet(f"{out}/current")
+    return version
+
+
+def load(spark: SparkSession, out: str, version: str | None = None) -> tuple[PipelineModel, dict]:
+    """The current model, or one version, and its metadata. A model of other
+    features than these is refused."""
+    if version is None:
+        last = read_parts(spark, f"{out}/current", POINTER).orderBy(F.desc("ordinal")).first()
+        if last is None:
+            raise ValueError(f"no published model under {out}")
+        version = last.version
+    at = f"{out}/versions/{version}"
+    info = json.loads(spark.read.text(f"{at}/model_info").first()[0])
+    if info["feature_names"] != FEATURE_NAMES:
+        raise ValueError(f"version {version} was trained on other features")
+    return PipelineModel.load(f"{at}/model"), info
 
 
 RESULT = "seed INT, model STRING, accuracy DOUBLE, precision DOUBLE, recall DOUBLE, f1_score DOUBLE, error STRING"

@@ -126,6 +126,23 @@ def test_grid_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
     assert ml.experiments(spark, corpus, "request_id", **grid).count() == 4 and calls[-1] == "again" and len(prepared) == 2
 
 
+def test_published_versions(spark, trained, tmp_path):
+    """The last published model is current; a broken save leaves it; other features are refused."""
+    out, models = str(tmp_path / "published"), trained[1]
+    with pytest.raises(ValueError, match="no published"):
+        ml.load(spark, out)
+    for version in ("a", "b", "a"):
+        ml.save(spark, models["LogisticRegression"], f"LR-{version}", out, version=version)
+        assert ml.load(spark, out)[1]["model_name"] == f"LR-{version}"
+    models["LogisticRegression"].write().overwrite().save(f"{out}/versions/c/model")  # breaks off before its pointer
+    assert ml.load(spark, out)[1]["version"] == "a" and ml.load(spark, out, "b")[1]["version"] == "b"
+    import json
+    spark.createDataFrame([(json.dumps({"feature_names": ["x"]}),)], "value STRING").coalesce(1).write.mode(
+        "overwrite").text(f"{out}/versions/b/model_info")
+    with pytest.raises(ValueError, match="other features"):
+        ml.load(spark, out, "b")
+
+
 def test_retraining_with_feedback(spark, tmp_path):
     texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
     feedback = spark.createDataFrame([("feedback text", 1), ("' OR 1=1", 1)], "query STRING, label INT")

@@ -970,3 +970,11 @@ FROM query_logs GROUP BY 1""")
 def stream_daily(spark, sf_dir):
     from ..streaming.jobs import run_daily_counter_stream
     return spark.read.parquet(run_daily_counter_stream(spark, sf_dir))
+
+
+@register("stream_daily_late", O.with_("query_logs") + """SELECT CAST(created_at AS DATE) AS date, count(*) AS n FROM query_logs GROUP BY 1""")
+def stream_daily_late(spark, sf_dir):
+    """Rows by day, counted or late: none is lost."""
+    from ..streaming.jobs import daily_totals, run_late_table_stream
+    totals = daily_totals(spark, run_late_table_stream(spark, sf_dir))
+    return totals.select("date", (F.col("total_queries") + F.col("late_rows")).alias("n"))

@@ -27,10 +27,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.logs import BLOCK_REASON
 from ..operators.score import RuleScorer, counter_row, observed, screen
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, read_parts
 from ..sources import tables as T
 
 MAX_FILES = 64  # files of a micro-batch
+MARK = "epoch LONG, newest TIMESTAMP"
 EVENT_SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
                 "value DOUBLE, props STRING")
 
@@ -111,6 +112,58 @@ def daily_counter_stream(logs: DataFrame, sink: str, checkpoint: str, delay: str
     return w.start()
 
 
+def late_table_stream(logs: DataFrame, base: str, checkpoint: str, delay_days: int = 1,
+                      available_now: bool = True) -> StreamingQuery:
+    """Daily counters whose late rows go to a table instead of vanishing.
+
+    A row is late if it is over ``delay_days`` behind the newest row of the
+    batches before its own. Every batch writes its counts by day, its late rows
+    and its newest time to folders named after it, over whatever an earlier
+    attempt left; ``daily_totals`` adds the counts up.
+    """
+
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        newest = (read_parts(spark, f"{base}/marks", MARK).where(F.col("epoch") < epoch)
+                  .agg(F.max("newest")).first()[0])  # a row per batch
+        bound = F.lit(newest) - F.make_dt_interval(F.lit(delay_days))
+        late = F.lit(False) if newest is None else F.coalesce(F.col("created_at") < bound, F.lit(False))
+        rows = batch.withColumn("late", late).persist()
+        try:
+            rows.where("late").drop("late").write.mode("overwrite").parquet(f"{base}/late/epoch={epoch}")
+            (rows.where("NOT late").groupBy(F.to_date("created_at").alias("date"))
+             .agg(F.count(F.lit(1)).alias("total_queries"),
+                  F.count_if(F.col("is_sql_injection")).alias("sql_injections_detected"))
+             .write.mode("overwrite").parquet(f"{base}/counts/epoch={epoch}"))
+            (rows.agg(F.lit(epoch).cast("long").alias("epoch"), F.max("created_at").alias("newest"))
+             .coalesce(1).write.mode("overwrite").parquet(f"{base}/marks/{epoch}"))
+        finally:
+            rows.unpersist()
+
+    w = _with_event_time(logs).writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
+def daily_totals(spark: SparkSession, base: str) -> DataFrame:
+    """Counts by day over all batches, and the late rows of each day beside them."""
+    counted = spark.read.parquet(f"{base}/counts").groupBy("date").agg(
+        F.sum("total_queries").alias("total_queries"), F.sum("sql_injections_detected").alias("sql_injections_detected"))
+    late = spark.read.parquet(f"{base}/late").groupBy(F.to_date("created_at").alias("date")).agg(
+        F.count(F.lit(1)).alias("late_rows"))
+    both = counted.join(late, "date", "full_outer")
+    return both.select("date", *[F.coalesce(c, F.lit(0)).alias(c)
+                                 for c in ("total_queries", "sql_injections_detected", "late_rows")])
+
+
+def run_late_table_stream(spark: SparkSession, folder: str, max_files: int | None = MAX_FILES, delay_days: int = 1) -> str:
+    """``late_table_stream`` to completion over the files present; returns its folder."""
+    base = scratch(spark, "late")
+    logs = T.logs_from_requests(request_stream(spark, folder, max_files=max_files))
+    late_table_stream(logs, base, f"{base}/_checkpoint", delay_days).awaitTermination()
+    return base
+
+
 def run_screen_stream(spark: SparkSession, folder: str, scorer=None) -> tuple[str, str]:
     """Run X1+X2 to completion over the files present; returns (log, blocked) paths.
     The counters of each batch are beside them, in ``counters``."""

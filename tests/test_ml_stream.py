@@ -183,3 +183,26 @@ def test_stream_daily_backlog_of_overlapping_files(spark, tmp_path):
     want = {r["date"]: (r["total_queries"], r["sql_injections_detected"])
             for r in daily_statistics(logs, logs.limit(0).withColumn("feedback_type", F.lit("x"))).collect()}
     assert len(want) > 3 and got == want
+
+
+def test_late_rows_have_a_table(spark, tmp_path):
+    """Files in falling order of time: what is over a day behind is late, and counted + late = all."""
+    import os
+    from sievekit.streaming.jobs import daily_totals, run_late_table_stream
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    days = [r[0] for r in events.select(F.to_date("ts").alias("d")).distinct().orderBy(F.desc("d")).collect()]
+    (tmp_path / "in").mkdir()
+    parts = [F.to_date("ts") == F.lit(days[1]), F.to_date("ts") == F.lit(days[0]), F.to_date("ts") < F.lit(days[1])]
+    for n, part in enumerate(parts):
+        events.where(part).coalesce(1).write.parquet(str(tmp_path / f"w{n}"))
+        to = tmp_path / "in" / f"events-{n}.parquet"
+        to.write_bytes(next((tmp_path / f"w{n}").glob("part-*.parquet")).read_bytes())
+        os.utime(to, (1_700_000_000 + n, 1_700_000_000 + n))
+    base = run_late_table_stream(spark, str(tmp_path / "in"), max_files=1)
+    got = {r.date: (r.total_queries, r.late_rows) for r in daily_totals(spark, base).collect()}
+    newest = events.where(parts[0] | parts[1]).agg(F.max("ts")).first()[0]
+    bound = F.lit(newest) - F.expr("INTERVAL 1 DAY")
+    late = parts[2] & (F.col("ts") < bound)
+    want = {r.d: (r.n - r.late, r.late) for r in events.groupBy(F.to_date("ts").alias("d")).agg(
+        F.count("*").alias("n"), F.count_if(late).alias("late")).collect()}
+    assert got == want and sum(x for _, x in want.values()) > 0

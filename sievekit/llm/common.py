@@ -40,6 +40,33 @@ def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark's own setting: shuffle files go when the query that wrote them ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_free(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """``cut`` that does not leave the shuffle files of the write behind.
+
+    All that is read later is the written table, so a lost executor costs
+    nothing more; without this the files stay until the driver collects garbage.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, "false")
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        return cut(df, name, compression)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
+
+
+def release(df: DataFrame) -> None:
+    """Empty the tables of ``cut`` that ``df`` reads, once all that was made of
+    them is written itself. A later read of ``df`` fails for want of its files."""
+    none = df.sparkSession.createDataFrame([], "x long")
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        none.write.mode("overwrite").parquet(path)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Left join to a table with one row per ``key``; hot keys are not shuffled.
 

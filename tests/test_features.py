@@ -93,3 +93,15 @@ def test_null_text_gives_null_features(spark):
     df = spark.createDataFrame([(1, None)], "id INT, query STRING")
     row = featurize(df, keep=["id"]).first()
     assert row["query_length"] is None and row["pattern_match_count"] is None
+
+
+def test_rules_run_only_where_their_literals_are():
+    """Each literal a pattern cannot match without, and none that it can."""
+    from sievekit.functions.patterns import ATTACK_PATTERNS, plain_alternatives
+    from sievekit.functions.rx import mandatory
+    assert mandatory(r"UNION\s+(ALL\s+)?SELECT") == [["UNION"], ["SELECT"]]
+    assert mandatory(r"(OR|AND)\s+\d+\s*=\s*\d+") == [["="], ["OR", "AND"]]
+    assert mandatory(r"%[0-9a-fA-F]{2}") == [["%"]] and mandatory(r"ab?c+d") == [["a"], ["c"], ["d"]]
+    assert mandatory(r"a|b") == [] and mandatory(r"\s+") == []
+    assert set(plain_alternatives(ATTACK_PATTERNS[0])) == {"'", ";", "--", "/*", "*/", *"+%=()[]{}"}
+    assert [p for p in ATTACK_PATTERNS[1:] if not mandatory(p)] == []

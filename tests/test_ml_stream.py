@@ -206,3 +206,12 @@ def test_late_rows_have_a_table(spark, tmp_path):
     want = {r.d: (r.n - r.late, r.late) for r in events.groupBy(F.to_date("ts").alias("d")).agg(
         F.count("*").alias("n"), F.count_if(late).alias("late")).collect()}
     assert got == want and sum(x for _, x in want.values()) > 0
+
+
+def test_training_uses_all_cores(spark):
+    """A corpus that comes in one part is featurised over all cores, and only what fits read is stored."""
+    corpus = T.requests(spark, "/root/testdata/sf0.001").select("request_id", "query", "label").where("request_id < 300")
+    _, _, data = ml.train_evaluate(spark, corpus.coalesce(1), "request_id", learners=["LogisticRegression"])
+    files = {r[0] for r in data.select(F.input_file_name()).distinct().collect()}
+    assert len(files) > 1 and data.count() == 300
+    assert set(data.columns) == {"request_id", "label", "is_test", "features"}

@@ -185,3 +185,27 @@ def test_one_class_and_constant_features(spark):
     assert all(t["feature"] == [-1] for t in model.tree_list()) and (model.score(x) > 0.5).all()
     forest = tr.fit_forest(frame(spark, x, np.ones(20)), tr.Forest(trees=3))
     assert (forest.score(x) == 1).all()
+
+
+def test_sums_without_the_common_bins(monkeypatch):
+    """Only cells off the common bin are added up; completed, the sums are those of all cells."""
+    draw = np.random.default_rng(11)
+    cuts = [np.arange(w, dtype=float) for w in (0, 1, 3, 6)]
+    bins = np.stack([draw.integers(0, len(c) + 1, 500) * (draw.random(500) < 0.1) for c in cuts], 1).astype(np.uint8)
+    slot = draw.integers(0, 3, 500)
+    n, a, b = np.ones(500), draw.integers(-9, 9, 500).astype(float), draw.integers(0, 9, 500).astype(float)
+    for features in (None, np.array([[0, 2], [1, 3], [2, 3]])):
+        for common in (np.zeros(4, int), np.array([0, 1, 2, 5])):
+            layout = tr.Layout(cuts, common)
+            row, cells = layout.cells(bins, slot, features)
+            if not common.any():
+                assert len(cells) < bins.size * 0.2
+            values, sums = layout.complete(*tr._cell_sums(row, cells, 3 * layout.width, n, a, b),
+                                           tr._sums(slot, 3, n, a, b), features)
+            got = dict(zip(values.tolist(), map(tuple, sums.tolist())))
+            want = {}
+            for i in range(500):
+                for f in range(4) if features is None else features[slot[i]]:
+                    at = int(slot[i] * layout.width + layout.offset[f] + bins[i, f])
+                    want[at] = tuple(int(x) + y for x, y in zip((n[i], a[i], b[i]), want.get(at, (0, 0, 0))))
+            assert got == want

@@ -215,3 +215,20 @@ def test_training_uses_all_cores(spark):
     files = {r[0] for r in data.select(F.input_file_name()).distinct().collect()}
     assert len(files) > 1 and data.count() == 300
     assert set(data.columns) == {"request_id", "label", "is_test", "features"}
+
+
+def test_registered_experiments_run_all_rounds(spark, monkeypatch):
+    """Every seed and learner is fitted with the 200 rounds of the whole job."""
+    from sievekit.plans.catalog import QUERIES
+    calls, corpora = [], T.requests(spark, "/root/testdata/sf0.001").where("request_id < 60")
+    monkeypatch.setattr(T, "requests", lambda *_: corpora)
+    monkeypatch.setattr(ml, "prepare", lambda df, keep: df.select(*keep, "label", F.lit(0).alias("features")))
+
+    def watched(name, train, n_train, seed=42, defaults=False, rounds=200):
+        calls.append((seed, name, defaults, rounds))
+        raise ml.IllegalArgumentException("not fitted here")
+
+    monkeypatch.setattr(ml, "fit", watched)
+    rows = QUERIES["experiments"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(calls) == sorted((seed, name, True, 200) for seed in range(5) for name in ml.LEARNERS)
+    assert all(r.n_failed == 5 for r in rows)

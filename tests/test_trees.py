@@ -209,3 +209,52 @@ def test_sums_without_the_common_bins(monkeypatch):
                     at = int(slot[i] * layout.width + layout.offset[f] + bins[i, f])
                     want[at] = tuple(int(x) + y for x, y in zip((n[i], a[i], b[i]), want.get(at, (0, 0, 0))))
             assert got == want
+
+
+def shape(t, node=0):
+    if t["feature"][node] < 0:
+        return round(t["value"][node], 6), t["n"][node]
+    return t["feature"][node], t["cut"][node], shape(t, t["left"][node]), shape(t, t["right"][node])
+
+
+@pytest.mark.parametrize("block", [16, 1 << 14])
+def test_trees_of_one_stage_are_those_of_a_job_a_level(spark, monkeypatch, block):
+    """One task, several that exchange sums, or a job a level: the same trees."""
+    monkeypatch.setattr(tr, "STAGE_TREES", 3)
+    monkeypatch.setattr(tr, "HELD_TREES", 600)
+    monkeypatch.setattr(tr, "JOB_NODES", 7)
+    monkeypatch.setattr(tr, "BLOCK", block)
+    monkeypatch.setattr(tr, "LOCAL_ROWS", 100)
+    x, y = data(300, 9, 8)
+    x[:, 3:] *= np.random.default_rng(1).random((300, 6)) < 0.2  # a common bin
+    df, found = frame(spark, x, y), []
+    for size in (0, 1, 3):
+        monkeypatch.setattr(tr, "crew_size", lambda *_: size)
+        found.append([[shape(t) for t in model.tree_list()] for model in (
+            tr.fit_boosting(df, tr.Boosting(rounds=7, depth=6, step=0.3)), tr.fit_forest(df, tr.Forest(trees=5, seed=2)))])
+    assert found[0] == found[1] == found[2]
+
+
+def test_a_fit_is_a_few_stages(spark):
+    """200 rounds took a job and more each."""
+    x, y = data(300, 5, 8)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    try:
+        tr.fit_boosting(frame(spark, x, y), tr.Boosting(rounds=60, depth=3))
+        assert len(tracker.getJobIdsForGroup("rounds")) < 30
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_crew_needs_slots_and_a_shared_folder(spark, monkeypatch):
+    assert tr.crew_size(spark, 10) == 1
+    most = tr.crew_size(spark, 10 ** 9)
+    assert most > 1
+    spark.sparkContext.setLocalProperty(tr.SIDE_BY_SIDE, "2")
+    try:
+        assert tr.crew_size(spark, 10 ** 9) == most // 2
+    finally:
+        spark.sparkContext.setLocalProperty(tr.SIDE_BY_SIDE, None)
+    monkeypatch.setattr(tr, "shared_path", lambda *_: "hdfs://h/x")
+    assert tr.crew_size(spark, 10 ** 9) == 0 and tr._folder("file:///a/b") == tr._folder("file:/a/b") == "/a/b"

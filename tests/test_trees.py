@@ -258,3 +258,38 @@ def test_a_crew_needs_slots_and_a_shared_folder(spark, monkeypatch):
         spark.sparkContext.setLocalProperty(tr.SIDE_BY_SIDE, None)
     monkeypatch.setattr(tr, "shared_path", lambda *_: "hdfs://h/x")
     assert tr.crew_size(spark, 10 ** 9) == 0 and tr._folder("file:///a/b") == tr._folder("file:/a/b") == "/a/b"
+
+
+@pytest.mark.parametrize("size", [0, 1, 2])
+def test_gradient_boosting_equals_brute_force(spark, monkeypatch, size):
+    """Least-squares trees on the residuals from the log-odds on, Newton steps as leaves."""
+    monkeypatch.setattr(tr, "crew_size", lambda *_: size)
+    monkeypatch.setattr(tr, "STAGE_TREES", 3)
+    monkeypatch.setattr(tr, "REFRESH", 2)
+    x, y = data(150, 4, 12)
+    first, *found = tr.fit_boosting(frame(spark, x, y), tr.GradientBoosting(rounds=4, depth=3, step=0.2)).tree_list()
+    margin = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    assert first["feature"] == [-1] and first["value"] == pytest.approx([margin[0]]) and len(found) == 4
+    for t in found:
+        prob = 1 / (1 + np.exp(-margin))
+        step = np.zeros(len(y))
+
+        def walk(want, node, rows):
+            if not isinstance(want, tuple):
+                assert t["feature"][node] < 0 and t["n"][node] == len(rows)
+                p = prob[rows]
+                step[rows] = 0.2 * (y[rows] - p).sum() / (p * (1 - p)).sum()
+                assert t["value"][node] == pytest.approx(step[rows[0]], abs=1e-5)
+                return
+            assert (t["feature"][node], t["cut"][node]) == want[:2]
+            low = x[rows, want[0]] <= want[1]
+            walk(want[2], t["left"][node], rows[low])
+            walk(want[3], t["right"][node], rows[~low])
+
+        walk(plain_tree(x, prob - y, np.ones(len(y)), np.arange(len(y)), 3, 0.0, 1.0), 0, np.arange(len(y)))
+        margin += step
+
+
+def test_gradient_boosting_of_one_class(spark):
+    model = tr.fit_boosting(frame(spark, np.zeros((20, 2)), np.ones(20)), tr.GradientBoosting(rounds=2, depth=3))
+    assert (model.score(np.zeros((3, 2))) > 0.99).all()
